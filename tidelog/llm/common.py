@@ -158,9 +158,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, n
     d = df.withColumn("_chunk", chunk)
     sizes = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    cond = [d[k].eqNullSafe(starts[k]) for k in [*keys, "_chunk"]]
-    both = d.join(starts, cond).select(*[d[c] for c in d.columns], starts["_start"])
+    names = [*keys, "_chunk"]
+    starts = sizes.select(*[F.col(k).alias(f"_at_{k}") for k in names], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in names]
+    both = d.join(starts, cond).drop(*[f"_at_{k}" for k in names])
     inner = W.partitionBy(*keys, "_chunk").orderBy(*order)
     return both.withColumn(name, (F.col("_start") + F.row_number().over(inner) - 1).cast("long")).drop("_chunk", "_start")
 
