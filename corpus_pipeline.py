@@ -1,8 +1,73 @@
-"""A corpus pipeline of five stages over documents; each stage is written as Parquet and read again."""
+"""A corpus pipeline of five stages over documents; each stage is written as Parquet and read again.
 
-STAGES = []
+Language identification, near-duplicate removal, benchmark decontamination, mixing of sources, sharding. Every stage
+works on all that the one before kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontaminate, language, mixing, sharding, simhash
+from tidelog.llm.common import bounded_broadcast, discard, written
+
+#: Documents in which less than this share of the words is in one language are rejected, as are those without letters.
+LEAST_LANGUAGE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words have a language."""
+    told = language.learn_and_identify(docs, F.lit(True))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the least doc_id; texts of no words are a group."""
+    comp = written(simhash.similar_documents(docs))
+    stay = comp.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("one")).select(F.col("one.doc_id").alias("at"), F.col("one.h").alias("at_h"))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.withColumn("_h", h).join(stay, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("_h") == F.col("at_h")), "left_semi")
+    # rows that repeat a doc_id and its text cannot be told apart; only where there are any is one of them picked
+    again = comp.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_h"]) if again else kept).select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = written(found.select(F.col("doc_id").alias("at")).distinct())
+    return docs.join(bounded_broadcast(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("at")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    taken = mixing.mix(docs.withColumn("h", h), keep=("h",)).filter("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("at"), F.col("h").alias("at_h"), F.col("source").alias("at_source")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("_h") == F.col("at_h")) & F.col("source").eqNullSafe(F.col("at_source"))
+    each = F.greatest(F.lit(1), F.round(F.col("copies") / F.col("rows"))).cast("int")
+    both = docs.withColumn("_h", h).join(taken, same)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and place of every document."""
+    return sharding.shard(docs)
+
+
+STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("decontamination", no_benchmark), ("mixing", mixed), ("sharding", sharded)]
+
+#: Trained models and hash-based groups are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return docs

@@ -90,4 +90,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     picks = bounded_broadcast(written(picks))
     out = first.join(picks, first.source.eqNullSafe(picks["at"]) & (first.nth == picks.at_nth), "left")
     copies = (F.col("copies") + F.coalesce("turn", F.lit(0))).cast("int")
-    return out.select("doc_id", *keep, "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("doc_id", first.source, *keep, "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
