@@ -3,7 +3,8 @@
 A word's features are its affixes, its character n-grams and, for frequent words of the training sample, the word
 itself; transitions between the languages of neighbouring words are learned. Training sequences are runs of words from
 documents of one or more languages, so that switches occur. Forward-backward gives each word the marginal probability of
-each language; a document's language has the largest sum, its score is the mean.
+each language; a document's language has the largest sum, its score is the mean. Long texts are read in blocks of words
+with enough words around them for the chain to forget where the block began.
 
 The model is fitted on a bounded sample: `per_lang` documents of each language at most, of at most `sample_chars`
 characters, chosen by a hash. Prediction reads nothing but the text.
@@ -25,22 +26,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import bounded_broadcast
+
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, LEXICON, CACHE, CHARS_AT_ONCE = 1 << 15, 2000, 150_000, 1_500_000
+NONE = BUCKETS + LEXICON  # the row of weights that stays zero
+#: Longer texts are read in blocks, each with so many words on both sides, over which a chain forgets where it began.
+BLOCK, CONTEXT = 512, 64
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    w = f"^{word}$"
-    out = {zlib.crc32(f"{n}p{word[:n]}".encode()) % BUCKETS for n in (1, 2, 3)}
-    out |= {zlib.crc32(f"{n}s{word[-n:]}".encode()) % BUCKETS for n in (1, 2, 3)}
-    out |= {zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)}
-    if (x := lexicon.get(word)) is not None:
-        out.add(BUCKETS + x)
-    return sorted(out)
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, starts): for each character of each ^word$ the hashed 2-, 3- and 4-grams from it, and where words begin.
+
+    Grams with a boundary mark are the affixes. A gram that would leave its word is NONE, a row of zeros.
+    """
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the word's end
+    padded = np.r_[codes, np.zeros(3, np.uint64)]
+    h = padded[: len(codes)] * np.uint64(0x9E3779B97F4A7C15)
+    out = np.empty((len(codes), 3), np.int64)
+    for n in (2, 3, 4):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + padded[n - 1 : n - 1 + len(codes)] * np.uint64(0x94D049BB133111EB)
+        mixed = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[:, n - 2] = np.where(left >= n, (mixed >> np.uint64(49)).astype(np.int64), NONE)
+    return out, starts
+
+
+def sums(weights: np.ndarray, rows: np.ndarray, starts: np.ndarray, lexical: np.ndarray) -> np.ndarray:
+    """Each word's score for each label."""
+    return np.add.reduceat(weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]], starts, axis=0) + weights[lexical]
 
 
 def forward_backward(em: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -91,25 +111,27 @@ class Crf:
             self.known = self.known[:0]
             new = list(dict.fromkeys(words))
         if new:
-            lists = [features(w, self.lexicon) for w in new]
-            ends = np.cumsum([len(x) for x in lists])
-            sums = np.add.reduceat(self.weights[np.concatenate(lists)], np.r_[0, ends[:-1]], axis=0)
-            for i, w in enumerate(new, len(self.known)):
-                cache[w] = i
-            self.known = np.concatenate([self.known, sums.astype(np.float64)])
-        e = self.known[[cache[w] for w in words]]
+            lexical = np.array([self.lexicon.get(w, NONE - BUCKETS) for w in new]) + BUCKETS
+            cache.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known = np.concatenate([self.known, sums(self.weights, *features(new), lexical).astype(np.float64)])
+        e = self.known[list(map(cache.__getitem__, words))]
         return np.exp(np.clip(e - e.max(1, keepdims=True), -30, 0))
 
     def marginals(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Marginals of each word of each sequence; no sequence is empty."""
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        lengths = np.array([len(sequences[i]) for i in order])
+        blocks = []
+        for i, words in enumerate(sequences):
+            for at in range(0, len(words), BLOCK):
+                lo, hi = max(0, at - CONTEXT), min(len(words), at + BLOCK + CONTEXT)
+                blocks.append((hi - lo, i, lo, hi, at - lo, min(at + BLOCK, len(words)) - lo))
+        blocks.sort(key=lambda x: (-x[0], x[1], x[2]))
+        lengths = np.array([b[0] for b in blocks])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        p = forward_backward(self.emissions([w for i in order for w in sequences[i]]), np.exp(self.trans), starts, lengths)
-        out: list[np.ndarray] = [p[:0]] * len(sequences)
-        for i, s, n in zip(order, starts, lengths):
-            out[i] = p[s : s + n]
-        return out
+        p = forward_backward(self.emissions([w for _, i, lo, hi, _, _ in blocks for w in sequences[i][lo:hi]]), np.exp(self.trans), starts, lengths)
+        parts: list[list[tuple[int, np.ndarray]]] = [[] for _ in sequences]
+        for (_, i, lo, _, a, b), s in zip(blocks, starts):
+            parts[i].append((lo, p[s + a : s + b]))
+        return [np.concatenate([x for _, x in sorted(ps, key=lambda y: y[0])]) if len(ps) > 1 else ps[0][1] for ps in parts]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -161,16 +183,16 @@ def fit(docs: list[tuple[str, str]], count: int = 3000, length: int = 40, epochs
     counts = Counter(w for _, words in pairs for w in words)
     lexicon = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])}
     n = len(labels)
-    crf = Crf(labels, lexicon, np.zeros((BUCKETS + LEXICON, n)), np.zeros((n, n)))
+    crf = Crf(labels, lexicon, np.zeros((NONE + 1, n)), np.zeros((n, n)))
     if not pairs:
         return crf
     rng = np.random.default_rng(seed)
     data = sequences_of(pairs, count, length, rng)
     index = {x: i for i, x in enumerate(labels)}
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in data for w in words))}
-    lists = [features(w, lexicon) for w in vocabulary]
-    flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
-    ptr = np.r_[0, np.cumsum(sizes)]
+    rows, first = features(list(vocabulary))
+    ptr = np.r_[first, len(rows)]
+    lexical = np.array([lexicon.get(w, NONE - BUCKETS) for w in vocabulary]) + BUCKETS
     ids = np.array([[vocabulary[w] for w in words] for words, _ in data])
     gold = np.array([[index[x] for x in ls] for _, ls in data])
     w_sq, t_sq, size = np.full(crf.weights.shape, 1e-2), np.full((n, n), 1e-1), 100
@@ -179,9 +201,9 @@ def fit(docs: list[tuple[str, str]], count: int = 3000, length: int = 40, epochs
             seq, y = ids[part], gold[part]
             used, inv = np.unique(seq, return_inverse=True)
             inv = inv.reshape(seq.shape)
-            feats = np.concatenate([flat[ptr[u] : ptr[u + 1]] for u in used])
-            reps = sizes[used]
-            e_used = np.add.reduceat(crf.weights[feats], np.r_[0, np.cumsum(reps)[:-1]], axis=0)
+            chars = np.concatenate([np.arange(ptr[u], ptr[u + 1]) for u in used])
+            reps = ptr[used + 1] - ptr[used]
+            e_used = sums(crf.weights, rows[chars], np.r_[0, np.cumsum(reps)[:-1]], lexical[used])
             e = e_used[inv]
             em = np.exp(e - e.max(2, keepdims=True))
             trans = np.exp(crf.trans)
@@ -203,11 +225,14 @@ def fit(docs: list[tuple[str, str]], count: int = 3000, length: int = 40, epochs
             g_used = np.zeros((len(used), n))
             np.add.at(g_used, inv.ravel(), (post - truth).reshape(-1, n) / b)
             g = np.zeros_like(crf.weights)
-            np.add.at(g, feats, np.repeat(g_used, reps, axis=0))
-            rows = np.unique(feats)
-            g = g[rows] + 1e-5 * crf.weights[rows]
-            w_sq[rows] += g * g
-            crf.weights[rows] -= 0.1 * g / np.sqrt(w_sq[rows])
+            for k in range(3):
+                np.add.at(g, rows[chars, k], np.repeat(g_used, reps, axis=0))
+            np.add.at(g, lexical[used], g_used)
+            g[NONE] = 0
+            hit = np.flatnonzero(g.any(1))
+            g = g[hit] + 1e-5 * crf.weights[hit]
+            w_sq[hit] += g * g
+            crf.weights[hit] -= 0.1 * g / np.sqrt(w_sq[hit])
             seen = np.zeros((n, n))
             np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
             gt = (pair.sum((0, 1)) - seen) / b
@@ -219,9 +244,13 @@ def fit(docs: list[tuple[str, str]], count: int = 3000, length: int = 40, epochs
 def sample(docs: DataFrame, taught: Column, per_lang: int, sample_chars: int) -> list[tuple[str, str]]:
     """At most per_lang (text, lang) pairs of each language among the taught rows."""
     rows = docs.filter(taught & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("text"), F.col("text"))
-    picked = rows.select("text", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
-    return sorted((r.text, r.lang) for r in picked.collect())
+    # a hash first picks about three times as many of each language, so that few rows move at any size
+    sizes = bounded_broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")))
+    order = F.xxhash64("doc_id", "text")
+    few = rows.join(sizes, "lang").filter(F.pmod(order, F.lit(1_000_003)) * F.col("of_lang") < 1_000_003 * 3 * per_lang)
+    first = W.partitionBy("lang").orderBy(order, F.col("text"))
+    picked = few.select("doc_id", "text", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
+    return sorted((r.text, r.lang) for r in picked.select("text", "lang").collect())
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
