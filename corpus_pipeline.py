@@ -18,8 +18,8 @@ LEAST_LANGUAGE = 0.3
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words have a language."""
-    told = language.learn_and_identify(docs, F.lit(True))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    told = language.learn_and_identify(docs, F.lit(True), names=("_lang_pred", "_lang_score"))
+    return told.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,21 +253,22 @@ def sample(docs: DataFrame, taught: Column, per_lang: int, sample_chars: int) ->
     return sorted((r.text, r.lang) for r in picked.select("text", "lang").collect())
 
 
-def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Crf, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score; columns of these names are replaced."""
     crf = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS, LEXICON and the languages
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         langs, scores = crf.value.predict(list(texts))
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    kept = [c for c in docs.columns if c not in names]
+    return docs.withColumn("_told", predict("text")).select(*kept, F.col("_told.lang").alias(names[0]), F.col("_told.score").alias(names[1]))
 
 
 def held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
-def learn_and_identify(docs: DataFrame, taught: Column, per_lang: int = 300, sample_chars: int = 20_000) -> DataFrame:
-    return identify(docs, fit(sample(docs, taught, per_lang, sample_chars)))
+def learn_and_identify(docs: DataFrame, taught: Column, per_lang: int = 300, sample_chars: int = 20_000, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    return identify(docs, fit(sample(docs, taught, per_lang, sample_chars)), names)

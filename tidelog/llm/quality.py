@@ -6,7 +6,7 @@ once. The forest is fitted on `sample_rows` labelled rows at most, chosen by a h
 
 Nulls and edge cases: a null text counts as empty and gets a score like any other; null labels and labels without a
 document teach nothing; with no labels or only one kind, every score is that kind's share (0.5 without any). Repeated
-rows get equal scores; further columns are kept.
+rows get equal scores; further columns are kept, one named score is replaced.
 """
 
 from __future__ import annotations

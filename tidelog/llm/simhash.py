@@ -198,19 +198,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, block: int
 
 
 # Similarity of 0.8 needs more bits than 64: shingles sharing 0.8 differ in about 0.15 of the bits, unlike texts in half.
-LANES, SAMPLED, TABLES, WITHIN = 4, 20, 64, 43
+LANES, TABLES, MINIMA, WITHIN, SIMILAR_BLOCK = 4, 10, 3, 43, 16_384
 
 
-def long_fingerprint(text: str | None, size: int, lanes: int = LANES) -> list[int]:
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of each hash."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * salt % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def long_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> list[int]:
     """As fingerprint(), of 64 * lanes bits: each lane has its own mix of the shingle hashes."""
-    hashes = np.array(shingle_hashes(text, size), dtype=np.uint64)
     out = []
     for k in range(lanes):
-        h = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-        if k:
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
+        h = mixed(hashes, k) if k else hashes
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 65536):
             part = h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -219,31 +221,33 @@ def long_fingerprint(text: str | None, size: int, lanes: int = LANES) -> list[in
     return out
 
 
-def similar_documents(docs: DataFrame, size: int = 5, lanes: int = LANES, sampled: int = SAMPLED, tables: int = TABLES, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
+def shards_of(hashes: np.ndarray, tables: int = TABLES, minima: int = MINIMA) -> list[int]:
+    """A key a table: the least of `minima` mixes of the shingle hashes, together."""
+    if not len(hashes):
+        return []
+    low = [int(mixed(hashes, 1000 + k).min()) for k in range(tables * minima)]
+    return [xxhash.xxh3_64_intdigest(np.array(low[t * minima : (t + 1) * minima], np.uint64).tobytes(), t) - (1 << 63) for t in range(tables)]
+
+
+def similar_documents(docs: DataFrame, size: int = 5, lanes: int = LANES, tables: int = TABLES, minima: int = MINIMA, within: int = WITHIN, block: int = SIMILAR_BLOCK) -> DataFrame:
     """doc_id, h (xxhash64 of the text), component of every row; links join texts whose word shingles share about 0.8.
 
-    Fingerprints of 64 * lanes bits link at `within` differing bits or fewer. A shard is what agrees on `sampled` bits
-    drawn at random; there are `tables` draws. At a similarity of 0.8, 0.85 and 0.9, a pair meets in a shard with
-    probability 0.91, 0.98 and 0.999. Within a shard the search by BK-trees is exact.
+    Fingerprints of 64 * lanes bits link at `within` differing bits or fewer. A shard is what agrees on `minima` least
+    hashes of its shingles; there are `tables` draws. Texts that share 0.8 of their shingles meet in a shard with
+    probability 0.999, unlike texts hardly ever, so the shards grow with the copies only. The search of a shard's
+    BK-tree is exact.
     """
+    names = [f"f{k}" for k in range(lanes)]
 
-    @F.pandas_udf("array<long>")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([long_fingerprint(t, size, lanes) for t in texts])
+    @F.pandas_udf("f array<long>, keys array<long>")
+    def fp(texts: pd.Series) -> pd.DataFrame:
+        hashes = [np.array(shingle_hashes(t, size), dtype=np.uint64) for t in texts]
+        return pd.DataFrame({"f": [long_fingerprint(h, lanes) for h in hashes], "keys": [shards_of(h, tables, minima) for h in hashes]})
 
-    names = [f"f{k}" for k in range(lanes)]
-    fps = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), fp("text").alias("f"))
-    fps = fps.select("doc_id", "h", F.xxhash64("f").alias("node"), *[F.element_at("f", k + 1).alias(n) for k, n in enumerate(names)])
-    fps = written(fps)
-    nodes = fps.groupBy("node").agg(*[F.first(n).alias(n) for n in names])
-    rng, keys = np.random.default_rng(23), []
-    for t in range(tables):
-        masks = [0] * lanes
-        for bit in rng.choice(64 * lanes, sampled, replace=False).tolist():
-            masks[bit // 64] |= 1 << bit % 64
-        keys.append(F.xxhash64(F.lit(t), *[F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, masks)]))
-    nodes = written(nodes)
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    fps = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), fp("text").alias("p"))
+    fps = written(fps.select("doc_id", "h", F.xxhash64("p.f").alias("node"), *[F.element_at("p.f", k + 1).alias(n) for k, n in enumerate(names)], "p.keys"))
+    nodes = written(fps.groupBy("node").agg(*[F.first(n).alias(n) for n in names]))
+    rows = fps.select("node", F.explode("keys").alias("key")).distinct()
     dealt = in_blocks(rows, ["key"], "node", block).join(nodes, "node")
     comp = components(searched(dealt, ["key", "i", "j"], names, "node", within))
-    return fps.join(comp, fps.node == comp.id, "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
+    return fps.join(comp, fps.node == comp.id, "left").select("doc_id", fps["h"], F.coalesce("component", "node").alias("component"))
