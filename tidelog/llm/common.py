@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.session import on_workers
+
 #: Words are runs of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Broadcasts hold this many rows at most; beyond, the same join shuffles.
@@ -33,9 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, unless the session asks for fewer: texts are long, and both sides hold a batch."""
+    on_workers(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -164,7 +174,3 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, n
     both = d.join(starts, cond).drop(*[f"_at_{k}" for k in names])
     inner = W.partitionBy(*keys, "_chunk").orderBy(*order)
     return both.withColumn(name, (F.col("_start") + F.row_number().over(inner) - 1).cast("long")).drop("_chunk", "_start")
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

@@ -7,7 +7,7 @@ else too. The passes over a window's digits:
    equal windows name equal strings at equal places. Each document yields one row for each place so named, about one in
    (length - digit) / 2 bytes. Rows whose hash is alone are dropped: their windows are alone.
 2. Rows are counted by the digest of all bytes that their windows cover. Windows of equal covers repeat as a whole.
-3. The different covers of one place meet in a task, which sorts their windows by four digits of `length` / 4 bytes, most
+3. The different covers of one place meet in a task, which sorts their windows by two digits of `length` / 2 bytes, most
    significant first, dropping what is alone after each pass and comparing bytes at the end. Equal groups are exactly
    the repeated windows. A place with more than `block` different covers is split first: its windows are halved by
    their start and dealt by the digest of the bytes that all windows of a half hold, again and again where need be. At
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import discard, groups, written
 
-LENGTH, DIGIT, BLOCK, AT_ONCE = 200, 32, 32_768, 1 << 19
+LENGTH, DIGIT, BLOCK, AT_ONCE = 200, 32, 32_768, 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,8 +125,9 @@ def anchors(docs: DataFrame, length: int, digit: int) -> DataFrame:
                     rows.append(np.full(len(at), long[lo + k]))
                 if not keys:
                     continue
-                ref = batch.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(covers, pa.int64()), ref.column("d"), ref.column("crc"), pa.array(np.concatenate(places).astype(np.int32))], ["key", "cover", "d", "crc", "pos"])
+                at = pa.array(np.concatenate(rows))
+                ref = [batch.column(c).take(at) for c in REF]  # not the texts
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(covers, pa.int64()), *ref, pa.array(np.concatenate(places).astype(np.int32))], ["key", "cover", "d", "crc", "pos"])
 
     return docs.select("text", *REF).mapInArrow(find, "key long, cover long, d long, crc long, pos int")
 
@@ -134,43 +135,51 @@ def anchors(docs: DataFrame, length: int, digit: int) -> DataFrame:
 def repeated_windows(m: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of m, the first and last start in lo..hi whose window another row has at the same start (hi < lo: none).
 
-    first..last are the starts at which a row has a whole window. Windows are sorted by digits of length / 4 bytes, most
-    significant first; what is alone is dropped after each pass.
+    first..last are the starts at which a row has a whole window. Windows are sorted by two digits of length / 2 bytes,
+    the first half first; what is alone is dropped after each pass.
     """
     n = len(m)
     found_lo, found_hi = np.full(n, m.shape[1]), np.full(n, -1)
-    digit = length // 4
+    twin_lo, twin_hi = np.zeros(n, np.int64), np.zeros(n, np.int64)  # a row that has the same window there
+    digit = length // 2
     code = hashes(m, digit)
     step = max(1, 400_000 // n)
+    mix = np.uint64(0xD6E8FEB86659FD93)
     for a in range(lo, hi + 1, step):
         starts = np.arange(a, min(a + step, hi + 1))
         row, start = np.nonzero((first[:, None] <= starts) & (starts <= last[:, None]))
         start = starts[start]
         group = start.astype(np.uint64)
-        for k in range(4):
-            if not len(row):
-                break
-            c = code[row, start + k * digit]
-            order = np.lexsort((c, group))
-            c, g = c[order], group[order]
-            new = np.r_[True, (c[1:] != c[:-1]) | (g[1:] != g[:-1])]
+        for k in (0, length - digit):
+            c = code[row, start + k] ^ (group + np.uint64(1)) * mix
+            order = np.argsort(c)
+            c = c[order]
+            new = np.r_[True, c[1:] != c[:-1]]
             ids = np.cumsum(new) - 1
             keep = np.bincount(ids)[ids] > 1
-            row, start, group = row[order][keep], start[order][keep], ids[keep].astype(np.uint64)
+            order, group = order[keep], ids[keep].astype(np.uint64)
+            row, start = row[order], start[order]
+            if not len(row):
+                break
         if not len(row):
             continue
-        # bytes are compared with the first of the group
-        head = np.r_[True, group[1:] != group[:-1]]
-        leader = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        same = np.ones(len(row), bool)
-        for b in range(0, len(row), 20_000):
-            s = slice(b, b + 20_000)
-            cols = start[s][:, None] + np.arange(length)
-            same[s] = (m[row[s][:, None], cols] == m[row[leader[s]][:, None], cols]).all(1)
-        if not same.all():
-            raise RuntimeError("two windows of one hash differ")  # has a probability of about 2^-100
-        np.minimum.at(found_lo, row, start)
-        np.maximum.at(found_hi, row, start)
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        twin = np.repeat(row[head], np.diff(np.r_[head, len(row)]))
+        twin[head] = row[head + 1]
+        for at, found, twins, better in ((np.lexsort((-start, row)), found_lo, twin_lo, np.less), (np.lexsort((start, row)), found_hi, twin_hi, np.greater)):
+            r, s, t = row[at], start[at], twin[at]
+            end = np.r_[r[1:] != r[:-1], True]  # the least start of each row comes last, or the greatest
+            r, s, t = r[end], s[end], t[end]
+            now = better(s, found[r])
+            found[r[now]], twins[r[now]] = s[now], t[now]
+    # the bytes of the windows that decide are compared
+    hit = np.flatnonzero(found_hi >= found_lo)
+    for found, twins in ((found_lo, twin_lo), (found_hi, twin_hi)):
+        for b in range(0, len(hit), 10_000):
+            r = hit[b : b + 10_000]
+            cols = found[r][:, None] + np.arange(length)
+            if (m[r[:, None], cols] != m[twins[r][:, None], cols]).any():
+                raise RuntimeError("two windows of one hash differ")  # its probability is about 2^-60 for each pair
     return found_lo, found_hi
 
 
@@ -310,7 +319,10 @@ def repeats(docs: DataFrame, length: int, digit: int, block: int) -> DataFrame:
 
     one_text = docs.join(by_doc, REF)
     rows = one_text.select("text", *REF, "places").mapInArrow(contexts, "key long, d long, crc long, pos int, done boolean, left int, ctx binary")
-    rows = written(rows.dropDuplicates([*REF, "pos"]).withColumns({"lo": F.lit(0), "hi": F.lit(reach), "core": F.lit(b""), "cover": F.lit(b"")}))
+    # rows that repeat a doc_id and its text give the same places; only where there are any are they dropped
+    again = docs.groupBy(*REF).count().filter("count > 1").limit(1).count()
+    rows = rows.dropDuplicates([*REF, "pos"]) if again else rows
+    rows = written(rows.withColumns({"lo": F.lit(0), "hi": F.lit(reach), "core": F.lit(b""), "cover": F.lit(b"")}))
     return reduce(DataFrame.unionByName, refine(rows, length, digit, block), whole)
 
 
