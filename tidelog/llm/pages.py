@@ -176,12 +176,6 @@ def content(body: Node) -> list[Node]:
     path = [seed]
     while path[-1] is not body:
         path.append(path[-1].up)
-    marked = [n for n in path if n.tag in ("article", "main")]
-    if marked:
-        return [marked[0]]
-    articles = [n for n in order if n.tag == "article" and n.c]
-    if len(articles) == 1:
-        return articles
     least = min(n.density for n in path)
     top = seed
     for n in path[1:]:
