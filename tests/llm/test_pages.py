@@ -17,3 +17,13 @@ def test_article_tags_decide_nothing():
     assert marks(f"<body><div>{long('S')}</div>{teaser}</body>") == story
     assert marks(f"<body>{teaser}<div>{long('S')}</div></body>") == story
     assert marks(f"<body><section>{long('S')}</section></body>") == story
+
+
+def test_all_that_reaches_the_threshold():
+    both = [f"{m}{k}" for m in "AB" for k in range(5)]
+    for tag in ("div", "article", "section"):
+        assert marks(f"<body><{tag}>{long('A')}</{tag}><{tag}>{long('B')}</{tag}><p>By J. Doe</p></body>") == both
+    low = "<ul>" + "<li>x</li>" * 40 + "</ul>"
+    assert marks(f"<body><div>{long('A')}</div><div>{low}<div>{long('B')}</div></div></body>") == both
+    loose = "L0 <i>loose</i> " + "text of the body " * 90
+    assert marks(f"<body><div>{long('A')}</div>{loose}</body>") == both[:5] + ["L0"]

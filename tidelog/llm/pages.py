@@ -9,7 +9,9 @@ composite text density weighs characters per tag by its links:
 
 (c characters, t tags, lc and lt those in links, C and LC the body's; a zero divisor counts as one). The element with
 the greatest sum of its children's densities is the seed. The lowest density on its path to the body is the threshold;
-the content grows from the seed to those ancestors below the body that are dense enough and to the siblings above it.
+the content is all that reaches it, in page order: whole elements where one does, else what of their parts does, where
+text with the inline elements around it is one part. If the body is the seed, it is the content. Tags such as article
+decide nothing.
 
 Nulls and edge cases: null or empty html gives empty text; repeated rows give repeated results; broken markup is read as
 far as it goes; further columns are ignored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -151,19 +154,36 @@ def drop_links(order: list[Node]) -> bool:
     return found
 
 
+def density_of(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    if not c:
+        return 0.0
+    t = max(1, t)
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    return c / t * math.log(max(math.e, c / max(1, lc) * t / max(1, lt))) / max(1.0, math.log(max(math.e, base)))
+
+
 def densities(order: list[Node], body: Node) -> None:
     share = body.lc / max(1, body.c)
     for n in order:
-        c, t, lc, lt = n.c, max(1, n.t), n.lc, n.lt
-        if not c:
-            n.density = 0.0
-            continue
-        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-        n.density = c / t * math.log(max(math.e, c / max(1, lc) * t / max(1, lt))) / max(1.0, math.log(max(math.e, base)))
+        n.density = density_of(n.c, n.t, n.lc, n.lt, share)
     for n in order:
         n.total = sum(x.density for x in n.parts if isinstance(x, Node) and x.keep)
 
 
+def pieces(n: Node, share: float) -> list[tuple[Node, float]]:
+    """The kept blocks of n and the runs of text and inline elements between them, with their densities."""
+    out: list[tuple[Node, float]] = []
+    for inline, xs in groupby((x for x in n.parts if isinstance(x, str) or x.keep), lambda x: isinstance(x, str) or x.tag in INLINE):
+        if inline:
+            run = Node("", n, True)
+            run.parts = list(xs)
+            measure(run)
+            out.append((run, density_of(run.c, run.t, run.lc, run.lt, share)))
+        else:
+            out += [(x, x.density) for x in xs]
+    return out
+
+
 def content(body: Node) -> list[Node]:
     """The nodes in page order whose text is the main text."""
     order = measure(body)
@@ -173,18 +193,21 @@ def content(body: Node) -> list[Node]:
         return []
     densities(order, body)
     seed = max(order, key=lambda n: (n.total, -n.t))  # the first of equals
-    path = [seed]
-    while path[-1] is not body:
-        path.append(path[-1].up)
-    least = min(n.density for n in path)
-    top = seed
-    for n in path[1:]:
-        # an ancestor is content if what it adds is text rather than links or scraps
-        if n is body and any(isinstance(x, Node) and x.keep and x.c and x is not top and x.density < least for x in n.parts):
-            break
-        if n.density >= least:
-            top = n
-    return [top]
+    if seed is body:
+        return [body]
+    least, n = seed.density, seed
+    while n is not body:
+        n = n.up
+        least = min(least, n.density)
+    share = body.lc / max(1, body.c)
+    out, stack = [], pieces(body, share)[::-1]
+    while stack:
+        n, density = stack.pop()
+        if n.c and density >= least:
+            out.append(n)
+        elif n.c and n.tag:
+            stack += pieces(n, share)[::-1]
+    return out
 
 
 def text_of(roots: list[Node]) -> str:
