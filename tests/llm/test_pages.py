@@ -27,3 +27,14 @@ def test_all_that_reaches_the_threshold():
     assert marks(f"<body><div>{long('A')}</div><div>{low}<div>{long('B')}</div></div></body>") == both
     loose = "L0 <i>loose</i> " + "text of the body " * 90
     assert marks(f"<body><div>{long('A')}</div>{loose}</body>") == both[:5] + ["L0"]
+
+
+def test_links_inside_the_content_stay():
+    sources = "<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul>"
+    cell = "<table><tr><td><a href=a>Cell</a> <a href=b>Other</a></td></tr></table>"
+    links = ["Source", "Source", "Cell", "Other"]
+    a = [f"A{k}" for k in range(5)]
+    assert marks(f"<body><div>{sources}</div><div>{long('A')}{sources}{cell}</div></body>") == a + links
+    assert marks(f"<body><article><div>{long('A')}</div>{sources}{cell}</article></body>") == a + links
+    assert marks(f"<body><div>{long('A')}{sources.replace('<ul', '<ul class=menu')}<nav>{sources}</nav></div></body>") == a
+    assert marks(f"<body>{sources}{long('A')}</body>") == a

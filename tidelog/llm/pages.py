@@ -2,7 +2,9 @@
 
 The page becomes a tree of elements (void and unclosed elements as HTML5 has them). Parts that are no article - scripts,
 styles, forms, page headers and footers, navigation, asides, hidden parts, and blocks named as adverts, notices, menus,
-sidebars or comments - are left out, and so are blocks that are links for the most part. For each other element the
+sidebars or comments - are left out. So are blocks that are links for the most part, unless they are inside the seed, its
+nearest article or main, or other content that is not around the seed: there they are sources, not menus. (If the body is
+the seed, one outside article and main stays out.) For each other element the
 composite text density weighs characters per tag by its links:
 
     ctd = c / t * log(c / lc * t / lt) / log(ln(c / (c - lc) * lc + LC / C * c + e))
@@ -47,12 +49,13 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "keep", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "up", "parts", "keep", "c", "t", "lc", "lt", "density", "total", "links")
 
     def __init__(self, tag: str, up: Node | None, keep: bool):
         self.tag, self.up, self.keep, self.parts = tag, up, keep, []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
+        self.links = False  # left out as it is links for the most part
 
 
 class Tree(HTMLParser):
@@ -150,7 +153,7 @@ def drop_links(order: list[Node]) -> bool:
     found = False
     for n in order[1:]:
         if n.tag not in INLINE and n.tag not in ("body", "p", "article", "main") and n.lt >= 2 and 2 * n.lc > n.c:
-            n.keep, found = False, True
+            n.keep, n.links, found = False, True, True
     return found
 
 
@@ -184,6 +187,16 @@ def pieces(n: Node, share: float) -> list[tuple[Node, float]]:
     return out
 
 
+def restore_links(root: Node) -> None:
+    """Takes in again what drop_links() left out inside root."""
+    stack = [root]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, Node) and (x.keep or x.links):
+                x.keep = True
+                stack.append(x)
+
+
 def content(body: Node) -> list[Node]:
     """The nodes in page order whose text is the main text."""
     order = measure(body)
@@ -193,20 +206,26 @@ def content(body: Node) -> list[Node]:
         return []
     densities(order, body)
     seed = max(order, key=lambda n: (n.total, -n.t))  # the first of equals
+    path = [seed]
+    while path[-1] is not body:
+        path.append(path[-1].up)
     if seed is body:
+        for n in order:
+            if n.tag in ("article", "main"):
+                restore_links(n)
         return [body]
-    least, n = seed.density, seed
-    while n is not body:
-        n = n.up
-        least = min(least, n.density)
+    least = min(n.density for n in path)
     share = body.lc / max(1, body.c)
     out, stack = [], pieces(body, share)[::-1]
     while stack:
         n, density = stack.pop()
         if n.c and density >= least:
             out.append(n)
+            if n not in path:
+                restore_links(n)
         elif n.c and n.tag:
             stack += pieces(n, share)[::-1]
+    restore_links(next((n for n in path if n.tag in ("article", "main")), seed))
     return out
 
 
