@@ -35,9 +35,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = written(found.select(F.col("doc_id").alias("at")).distinct())
-    return docs.join(bounded_broadcast(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("at")), "left_anti")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = decontaminate.leaks(docs.withColumn("h", h), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("h",))
+    bad = written(found.select(F.col("doc_id").alias("at"), F.col("h").alias("at_h")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("at")) & (F.col("_h") == F.col("at_h"))
+    return docs.withColumn("_h", h).join(bounded_broadcast(bad), same, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
