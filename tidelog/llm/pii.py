@@ -5,9 +5,9 @@ can begin only where a run of its characters does, and runs are possessive. Thei
 matches and of the pieces between them, in code points.
 
 Bootstrapping: base spans are seeds, and other tokens with a digit or an at-sign are unlabelled instances. The words around
-an instance are its lexical patterns. Rounds of joins score the bipartite graph of patterns and instances: a pattern's
-confidence in a kind is the mean score of its distinct instances, shrunk by one unlabelled instance; an instance's
-score is its best pattern's confidence. Patterns of high confidence and support then label instances that no base
+an instance, other tokens and spans among them, are its lexical patterns. Rounds of joins score the bipartite graph of patterns and instances: a pattern's
+confidence in a kind is the sum of its distinct instances' scores for the kind over those for all kinds, to which one
+is added to shrink it, and `unknown` for each instance without a score; an instance's score is its best pattern's confidence. Patterns of high confidence and support then label instances that no base
 pattern knows. Counts are pre-aggregated and hold for the whole corpus.
 
 Nulls and edge cases: a null text is empty; repeated rows give repeated results (and one distinct instance); a null
@@ -35,7 +35,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
+ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN = 3, 5, 0.9, 0.1
 
 
 def digits_in(x: Column) -> Column:
@@ -68,19 +68,20 @@ SPAN = "array<struct<start: int, kind: int, end: int, token: string, before: str
 def located(text: Column, pattern: str, kind: int, keep) -> Column:
     """The pattern's matches that keep() holds for, with places in code points and the text near them."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    one = lambda at, m, i: F.struct(
+    one = lambda at, m, i, before: F.struct(
         at.cast("int").alias("start"), F.lit(kind).alias("kind"), (at + F.char_length(m)).cast("int").alias("end"), m.alias("token"),
-        F.right(F.element_at(pieces, i + 1), F.lit(60)).alias("before"), F.left(F.element_at(pieces, i + 2), F.lit(60)).alias("after"),
+        before.alias("before"), F.left(F.concat(*[F.left(F.coalesce(x, F.lit("")), F.lit(60)) for x in (F.element_at(pieces, i + 2), F.try_element_at(found, i + 2), F.try_element_at(pieces, i + 3))]), F.lit(60)).alias("after"),
     )
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.char_length(pair["piece"])
         m = pair["found"]
-        out = F.when(keep(m), F.concat(acc["out"], F.array(one(at, m, acc["i"])))).otherwise(acc["out"])
-        return F.struct((acc["i"] + 1).alias("i"), (at + F.char_length(m)).alias("at"), out.alias("out"))
+        before = F.right(F.concat(acc["tail"], pair["piece"]), F.lit(60))
+        out = F.when(keep(m), F.concat(acc["out"], F.array(one(at, m, acc["i"], before)))).otherwise(acc["out"])
+        return F.struct((acc["i"] + 1).alias("i"), (at + F.char_length(m)).alias("at"), F.right(F.concat(before, m), F.lit(60)).alias("tail"), out.alias("out"))
 
     pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("found"), p.alias("piece")))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {SPAN})").alias("out"))
     return F.aggregate(pairs, start, step)["out"]
 
 
@@ -108,7 +109,7 @@ def edges_of(units: DataFrame) -> DataFrame:
     return u.select("doc_id", "h", F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.kind").alias("kind"), F.lower("u.token").alias("instance"), F.explode(patterns).alias("pattern"))
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, unknown: float = UNKNOWN) -> DataFrame:
     """pattern, kind, confidence of the patterns of high confidence after the rounds."""
     graph = written(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
@@ -116,7 +117,10 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     scored = seeds
     for k in range(rounds):
         sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("known"))
-        best = sums.filter(F.col("known") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= confidence)
+        every = sums.groupBy("pattern").agg(F.sum("sum").alias("all"), F.sum("known").alias("labelled"))
+        # an instance of two kinds counts in both, so there may be more labels than instances
+        of = F.col("all") + 1 + unknown * F.greatest(F.lit(0), F.col("n") - F.col("labelled"))
+        best = sums.filter(F.col("known") >= support).join(sizes, "pattern").join(every, "pattern").select("pattern", "kind", (F.col("sum") / of).alias("confidence")).filter(F.col("confidence") >= confidence)
         best = written(best)
         if k < rounds - 1:
             # an instance's score is its best pattern's; it counts in each of its patterns in the next round
