@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,14 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir; a local one only where that is unset and all is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = at.get() if at.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tidelog-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -66,6 +69,23 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], of: str, total: int) -> DataFrame:
+    """rows joined on keys (never null) with named, which has a row for each key and in `of` how many rows the key has.
+
+    Keys of over 2 * total / BROADCAST_ROWS rows, at most BROADCAST_ROWS / 2 by their sum, are broadcast, so that no task
+    gets all rows of one; the others are shuffled. total: the number of rows, or more.
+    """
+    least = max(1000, 2 * total // BROADCAST_ROWS)
+    hot, cold = F.broadcast(named.filter(F.col(of) > least).drop(of)), named.filter(F.col(of) <= least).drop(of)
+    out = rows.join(hot, keys)
+    return out.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*out.columns))
+
+
+def chunks(rows: int, least: int) -> int:
+    """Into how many chunks so many rows are dealt: chunks of `least` rows, or of the square root of the rows if that is more."""
+    return max(1, -(-rows // max(least, math.isqrt(rows))))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of a stream that is sorted by keys; it holds one group and one batch at a time."""
     held: list[pa.RecordBatch] = []
@@ -93,8 +113,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
-    """Rows of buckets with two members or more, dealt so that no task needs more than two blocks of a bucket.
+def in_blocks(rows: DataFrame, keys: list[str], member: str, block: int, total: int) -> DataFrame:
+    """Rows (total of them, or fewer) of buckets with two members or more, dealt so that no task needs more than two blocks of a bucket.
 
     Adds blk (the member's own block) and i <= j: the rows of one (keys, i, j) meet in one task. A bucket of n members
     has ceil(n / block) blocks, and each pair of its blocks is met once.
@@ -102,7 +122,7 @@ def in_blocks(rows: DataFrame, keys: list[str], member: str, block: int) -> Data
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
     m = F.ceil(F.col("in_bucket") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), member), F.col("m")).cast("int")
-    dealt = rows.join(counts, keys).withColumn("m", m).withColumn("blk", own)
+    dealt = spread_join(rows, counts.withColumn("m", m), keys, "in_bucket", total).withColumn("blk", own)
     return dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(
         *rows.columns, "blk", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j")
     )
@@ -135,23 +155,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in edges (u, v): component is the smallest id reachable.
 
     Alternates large-star and small-star rounds: each keeps connectivity, edges never grow in number beyond twice the
-    input, and O(log^2 n) rounds end in stars. Every round is a written table.
+    input, and O(log^2 n) rounds end in stars. Every round is a written table. The hub of a
+    star is one key of many rows: spread_join() deals them out.
     """
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
-    mark = None
+    mark, total = None, e.count()
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, ["a"], "n", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        small = spread_join(large, low, ["a"], "n", 2 * total).select(F.explode(F.array(pair("a", "m"), pair("b", "m"))).alias("s")).select("s.a", "s.b").filter("a <> b").distinct()
         new = written(small)
         discard(e)
         e = new
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == mark:
             break
-        mark = tuple(now)
+        mark, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -40,8 +40,8 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Words in class or id that name parts which are no article.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|adsense|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|notices?|cookies?|consent|gdpr|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|"
-    r"subscription|signup|menus?|nav|navbar|navigation|breadcrumbs?|toolbars?|pagination|pager|sidebars?|side|rail|widgets?|related|recommended|share|sharing|social|comments?|commentlist|disqus|respond|"
+    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|adsense|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|notices?|cookies?|consent|gdpr|popups?|modals?|overlays?|newsletters?|subscribe|"
+    r"subscription|signup|menus?|nav|navbar|navigation|breadcrumbs?|toolbars?|pagination|pager|sidebars?|widgets?|related|recommended|sharing|social|comments?|commentlist|disqus|respond|"
     r"replies|footers?|masthead|topbar|skip|login|search)(?:$|[\s_-]|\d)",
     re.I,
 )
@@ -64,32 +64,44 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, True)
+        self.open = [self.root]
+        self.depths: dict[str, list[int]] = {"html": [0]}  # of the open elements of each name
+        self.blocks = [0]  # depths of the open elements that an inline end tag does not close
 
     def kept(self, tag: str, attrs: dict) -> bool:
         if tag in DROPPED or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
             return False
-        if tag == "header" and not self.inside("article"):
+        if tag == "header" and not self.depths.get("article"):
             return False
         if tag not in ("body", "html", "article", "main") and NAMES.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
             return False
         return not HIDDEN.search(attrs.get("style") or "")
 
-    def inside(self, tag: str) -> bool:
-        n = self.at
-        while n:
-            if n.tag == tag:
-                return True
-            n = n.up
-        return False
+    def depth(self, tags) -> int:
+        """Of the innermost open element of these names, 0 if there is none: no walk up the tree, however deep."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def enter(self, n: Node) -> None:
+        if n.tag not in INLINE and n.tag != "p":
+            self.blocks.append(len(self.open))
+        self.depths.setdefault(n.tag, []).append(len(self.open))
+        self.open.append(n)
+        self.at = n
+
+    def close_to(self, depth: int) -> None:
+        """Closes the element at the depth and all within."""
+        while len(self.open) > depth:
+            n = self.open.pop()
+            self.depths[n.tag].pop()
+            if self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+        self.at = self.open[-1]
 
     def leave(self, tags: set[str], stops: set[str]) -> None:
         """Leaves the nearest open element of tags, unless one of stops comes first."""
-        n = self.at
-        while n.up and n.tag not in stops:
-            if n.tag in tags:
-                self.at = n.up
-                return
-            n = n.up
+        at = self.depth(tags)
+        if at and at > self.depth(stops - tags):
+            self.close_to(at)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -103,22 +115,18 @@ class Tree(HTMLParser):
         n = Node(tag, self.at, self.at.keep and self.kept(tag, dict(attrs)))
         self.at.parts.append(n)
         if tag not in VOID:
-            self.at = n
+            self.enter(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.up
+            self.close_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.up:
-            if n.tag == tag:
-                self.at = n.up
-                return
-            if tag in INLINE and n.tag not in INLINE and n.tag != "p":
-                return  # a stray end tag of an inline element ends no block
-            n = n.up
+        at = self.depth((tag,))
+        # a stray end tag of an inline element ends no block
+        if at and (tag not in INLINE or at > self.blocks[-1]):
+            self.close_to(at)
 
     def handle_data(self, data):
         self.at.parts.append(data)
@@ -209,6 +217,7 @@ def content(body: Node) -> list[Node]:
     path = [seed]
     while path[-1] is not body:
         path.append(path[-1].up)
+    on_path = set(map(id, path))
     if seed is body:
         for n in order:
             if n.tag in ("article", "main"):
@@ -221,7 +230,7 @@ def content(body: Node) -> list[Node]:
         n, density = stack.pop()
         if n.c and density >= least:
             out.append(n)
-            if n not in path:
+            if id(n) not in on_path:
                 restore_links(n)
         elif n.c and n.tag:
             stack += pieces(n, share)[::-1]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import bounded_broadcast, written
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -62,51 +62,101 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start: int, kind: int, end: int, token: string, before: string, after: string>>"
+SPAN = "struct<start: int, kind: int, end: int, token: string, before: string, after: string>"
+#: How many items a fold appends to one array: longer arrays are built in pieces, as each append copies what there is.
+PIECE = 128
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def scanned(items: Column, start: Column, nxt, emit, kind: str) -> Column:
+    """All that emit(state, item) (arrays of kind) gives while nxt(state, item) leads from start over the items.
+
+    Items are folded in pieces: a first pass finds the state at which each piece begins, a second one what it gives, so
+    that no array grows long while it is built and time is linear in the items.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    part = lambda xs, k: F.slice(xs, k * PIECE + 1, PIECE)
+    one = lambda acc, x: F.struct(nxt(acc["s"], x).alias("s"), F.concat(acc["out"], emit(acc["s"], x)).alias("out"))
+
+    def run(xs: Column) -> Column:
+        ks = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / PIECE).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        ahead = lambda acc, k: F.struct(F.aggregate(part(xs, k), acc["s"], nxt).alias("s"), F.concat(acc["all"], F.array(acc["s"])).alias("all"))
+        states = F.aggregate(ks, F.struct(start.alias("s"), F.slice(F.array(start), 1, 0).alias("all")), ahead)["all"]
+        return let(states, lambda ss: F.flatten(F.transform(ss, lambda s, k: F.aggregate(part(xs, k), F.struct(s.alias("s"), none.alias("out")), one)["out"])))
+
+    return let(items, run)
 
 
 def located(text: Column, pattern: str, kind: int, keep) -> Column:
-    """The pattern's matches that keep() holds for, with places in code points and the text near them."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    one = lambda at, m, i, before: F.struct(
-        at.cast("int").alias("start"), F.lit(kind).alias("kind"), (at + F.char_length(m)).cast("int").alias("end"), m.alias("token"),
-        before.alias("before"), F.left(F.concat(*[F.left(F.coalesce(x, F.lit("")), F.lit(60)) for x in (F.element_at(pieces, i + 2), F.try_element_at(found, i + 2), F.try_element_at(pieces, i + 3))]), F.lit(60)).alias("after"),
-    )
+    """The pattern's matches that keep() holds for, with places in code points and the 60 characters on either side."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+
+    def items(found: Column, pieces: Column) -> Column:
+        def after(i: Column) -> Column:
+            near = [F.element_at(pieces, i + 2), F.try_element_at(found, i + 2), F.try_element_at(pieces, i + 3), F.try_element_at(found, i + 3), F.try_element_at(pieces, i + 4)]
+            return F.left(F.concat(*[F.left(F.coalesce(x, F.lit("")), F.lit(60)) for x in near]), F.lit(60))
+
+        gap = lambda i: F.element_at(pieces, i + 1)
+        return F.transform(found, lambda m, i: F.struct(m.alias("m"), F.char_length(m).alias("n"), F.char_length(gap(i)).alias("gap"), F.right(gap(i), F.lit(60)).alias("left"), after(i).alias("after"), keep(m).alias("keep")))
+
+    before = lambda s, x: F.right(F.concat(s["tail"], x["left"]), F.lit(60))
+
+    def nxt(s: Column, x: Column) -> Column:
+        return F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.right(F.concat(before(s, x), x["m"]), F.lit(60)).alias("tail"))
+
+    def emit(s: Column, x: Column) -> Column:
+        at = s["at"] + x["gap"]
+        return F.when(x["keep"], F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["n"]).alias("end"), x["m"].alias("token"), before(s, x).alias("before"), x["after"].alias("after")))).otherwise(none)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return let(both, lambda b: scanned(items(b["found"], b["pieces"]), start, nxt, emit, SPAN))
+
+
+def clear_of(tokens: Column, base: Column) -> Column:
+    """The tokens (disjoint, in order) that no base span overlaps: one pass over both by their starts."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    item = lambda x, is_base: F.struct(x["start"].alias("start"), F.lit(is_base).alias("rank"), x.alias("x"))
+    last = F.array(F.struct(F.lit((1 << 31) - 1).alias("start"), F.lit(1).alias("rank"), F.lit(None).cast(SPAN).alias("x")))
+    line = F.concat(F.sort_array(F.concat(F.transform(base, lambda x: item(x, 0)), F.transform(tokens, lambda x: item(x, 1)))), last)
+    is_base = lambda i: i["rank"] == 0
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.char_length(pair["piece"])
-        m = pair["found"]
-        before = F.right(F.concat(acc["tail"], pair["piece"]), F.lit(60))
-        out = F.when(keep(m), F.concat(acc["out"], F.array(one(at, m, acc["i"], before)))).otherwise(acc["out"])
-        return F.struct((acc["i"] + 1).alias("i"), (at + F.char_length(m)).alias("at"), F.right(F.concat(before, m), F.lit(60)).alias("tail"), out.alias("out"))
+    def nxt(s: Column, i: Column) -> Column:
+        x = i["x"]
+        reach = F.when(is_base(i), F.greatest(s["reach"], x["end"])).otherwise(s["reach"])
+        # a base span clears the token before it if they overlap; the next token tells that the one before it stays
+        held = F.when(is_base(i), F.filter(s["held"], lambda t: t["end"] <= x["start"])).when(s["reach"] > i["start"], none).otherwise(F.array(x))
+        return F.struct(reach.alias("reach"), held.alias("held"))
 
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("found"), p.alias("piece")))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    return F.aggregate(pairs, start, step)["out"]
+    return scanned(line, F.struct(F.lit(0).alias("reach"), none.alias("held")), nxt, lambda s, i: F.when(is_base(i), none).otherwise(s["held"]), SPAN)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), base and other (spans) of every row."""
+    """doc_id, h, h2 (two hashes of the text), base and other (spans) of every row."""
     text = F.coalesce("text", F.lit(""))
-    none = F.expr(f"cast(array() as {SPAN})")
-    d = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    d = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(5), "text"))
     number = F.col("text").rlike("[0-9]")
     for k, kind in enumerate(KINDS):
         may = F.col("text").contains(NEEDS[kind]) if kind == "email" else number & F.col("text").contains(NEEDS[kind]) if NEEDS[kind] else number
         d = d.withColumn(kind, F.when(may, located(F.col("text"), PATTERNS[kind], k, lambda m, kind=kind: valid(kind, m))).otherwise(none))
     d = d.withColumn("tokens", F.when(number | F.col("text").contains("@"), located(F.col("text"), TOKEN, -1, lambda _: F.lit(True))).otherwise(none))
-    d = d.select("doc_id", "h", F.sort_array(F.concat(*KINDS)).alias("base"), "tokens")
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return d.select("doc_id", "h", "base", clear.alias("other"))
+    d = d.select("doc_id", "h", "h2", F.sort_array(F.concat(*KINDS)).alias("base"), "tokens")
+    clear = F.when((F.size("tokens") > 0) & (F.size("base") > 0), clear_of(F.col("tokens"), F.col("base"))).otherwise(F.col("tokens"))
+    return d.select("doc_id", "h", "h2", "base", clear.alias("other"))
 
 
 def edges_of(units: DataFrame) -> DataFrame:
-    """doc_id, h, start, end, kind, instance and pattern of each unit: the words before, and before and after it."""
+    """doc_id, h, h2, start, end, kind, instance and pattern of each unit: the words before, and before and after it."""
     words = lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, "[0-9]", "0")), r"\s+"), lambda w: w != "")
     u = units.withColumn("b", words(F.col("u.before"))).withColumn("a", words(F.col("u.after")))
     one, two, nxt = F.try_element_at("b", F.lit(-1)), F.try_element_at("b", F.lit(-2)), F.try_element_at("a", F.lit(1))
     patterns = F.filter(F.array(F.concat(one, F.lit(" _")), F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _ "), nxt)), lambda p: p.isNotNull())
-    return u.select("doc_id", "h", F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.kind").alias("kind"), F.lower("u.token").alias("instance"), F.explode(patterns).alias("pattern"))
+    return u.select("doc_id", "h", "h2", F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.kind").alias("kind"), F.lower("u.token").alias("instance"), F.explode(patterns).alias("pattern"))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, unknown: float = UNKNOWN) -> DataFrame:
@@ -114,6 +164,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     graph = written(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
     seeds = graph.filter("seed >= 0").select("pattern", "instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    open_ = graph.filter("seed < 0").select("pattern", "instance")
     scored = seeds
     for k in range(rounds):
         sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("known"))
@@ -124,23 +175,23 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
         best = written(best)
         if k < rounds - 1:
             # an instance's score is its best pattern's; it counts in each of its patterns in the next round
-            told = graph.filter("seed < 0").join(best, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-            more = graph.filter("seed < 0").join(told, "instance").select("pattern", "instance", "kind", "score")
-            scored = seeds.union(more)
+            told = open_.join(bounded_broadcast(best), "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+            scored = seeds.union(open_.join(bounded_broadcast(told), "instance").select("pattern", "instance", "kind", "score"))
     return best
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base and added spans (arrays of start, kind, end) and discovered patterns' spans of every row of docs."""
     d = written(spans_of(docs))
-    units = d.select("doc_id", "h", F.explode(F.concat("base", "other")).alias("u"))
+    units = d.select("doc_id", "h", "h2", F.explode(F.concat("base", "other")).alias("u"))
     edges = written(edges_of(units))
     best = bootstrap(edges, rounds, support, confidence)
-    told = edges.filter("kind < 0").drop("kind").join(best, "pattern")
-    told = told.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    added = told.groupBy(F.col("doc_id").alias("at"), F.col("h").alias("at_h")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
+    told = edges.filter("kind < 0").drop("kind").join(bounded_broadcast(best), "pattern")
+    told = told.groupBy("h", "h2", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    # what is in a text does not depend on its row: the spans found go by the text's hashes
+    added = told.groupBy("h", "h2").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
     short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    out = d.join(added, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("h") == F.col("at_h")), "left")
+    out = d.join(bounded_broadcast(added), ["h", "h2"], "left")
     return out.select("doc_id", short("base").alias("base"), F.coalesce("added", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")).alias("added"))
 
 
