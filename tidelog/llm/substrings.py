@@ -15,12 +15,11 @@ else too. The passes over a window's digits:
 
 Nulls and edge cases: a null text is empty; texts under `length` bytes lose nothing; repeated rows are documents of
 their own and so repeat each other; matches never cross documents; an empty table gives an empty result; a null doc_id
-is kept; further columns are ignored.
+is kept, and texts of one doc_id or of none are told apart by 64 and 128 bits of hash; further columns are ignored.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, groups, written
+from tidelog.llm.common import discard, groups, spread_join, written
 
 LENGTH, DIGIT, BLOCK, AT_ONCE = 200, 32, 32_768, 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
 TABLE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-REF = ["d", "crc"]
+#: What a row goes by: doc_id and a hash of the text, and two hashes of the text where doc_id is null. Rows of one text and
+#: doc_id are alike in all that is found.
+REF = ["d", "h"]
 
 
 class Powers:
@@ -127,9 +128,9 @@ def anchors(docs: DataFrame, length: int, digit: int) -> DataFrame:
                     continue
                 at = pa.array(np.concatenate(rows))
                 ref = [batch.column(c).take(at) for c in REF]  # not the texts
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(covers, pa.int64()), *ref, pa.array(np.concatenate(places).astype(np.int32))], ["key", "cover", "d", "crc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(covers, pa.int64()), *ref, pa.array(np.concatenate(places).astype(np.int32))], ["key", "cover", "d", "h", "pos"])
 
-    return docs.select("text", *REF).mapInArrow(find, "key long, cover long, d long, crc long, pos int")
+    return docs.select("text", *REF).mapInArrow(find, "key long, cover long, d long, h long, pos int")
 
 
 def repeated_windows(m: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +215,7 @@ def pairwise(ctx: list[bytes], left: list[int], reach: int, digit: int, lo: int,
 
 
 def solve(rows: DataFrame, length: int, digit: int) -> DataFrame:
-    """d, crc, start, end of what the covers of each (key, lo, hi, core) repeat; groups are bounded."""
+    """d, h, start, end of what the covers of each (key, lo, hi, core) repeat; groups are bounded."""
     reach = length - digit
     keys = ["key", "lo", "hi", "core"]
 
@@ -238,13 +239,13 @@ def solve(rows: DataFrame, length: int, digit: int) -> DataFrame:
             if len(hit):
                 pos = g.column("pos").to_numpy()[hit] - reach
                 at = pa.array(hit)
-                d, crc = (g.column(c).take(at).combine_chunks() for c in REF)
-                yield pa.RecordBatch.from_arrays([d, crc, pa.array((pos + first[hit]).astype(np.int32)), pa.array((pos + last[hit] + length).astype(np.int32))], ["d", "crc", "start", "end"])
+                d, h = (g.column(c).take(at).combine_chunks() for c in REF)
+                yield pa.RecordBatch.from_arrays([d, h, pa.array((pos + first[hit]).astype(np.int32)), pa.array((pos + last[hit] + length).astype(np.int32))], ["d", "h", "start", "end"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "d long, crc long, start int, end int")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "d long, h long, start int, end int")
 
 
-HALF = "key long, lo int, hi int, core binary, cover binary, d long, crc long, pos int, done boolean, left int, ctx binary"
+HALF = "key long, lo int, hi int, core binary, cover binary, d long, h long, pos int, done boolean, left int, ctx binary"
 
 
 def halves(rows: DataFrame, length: int, digit: int) -> DataFrame:
@@ -280,28 +281,29 @@ def refine(rows: DataFrame, length: int, digit: int, block: int) -> list[DataFra
             return [*found, solve(rows, length, digit)]
         found.append(written(solve(rows.join(hot, keys, "left_anti"), length, digit)))
         split = written(halves(rows.join(hot, keys, "left_semi").select(*[x.split()[0] for x in HALF.split(", ")]), length, digit))
-        me = F.struct("d", "crc", "pos")
+        me = F.struct("d", "h", "pos")
         sums = written(split.groupBy(*keys, "cover").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("one")))
         both = split.join(sums, [*keys, "cover"])
         first = F.greatest(F.col("lo"), F.lit(reach) - F.col("left"))
         last = F.least(F.col("hi"), F.octet_length("ctx") - F.col("left") - digit)
         start = F.col("pos") - reach
-        found.append(both.filter("n > 1 and not done").select("d", "crc", (start + first).cast("int").alias("start"), (start + last + length).cast("int").alias("end")))
+        found.append(both.filter("n > 1 and not done").select("d", "h", (start + first).cast("int").alias("start"), (start + last + length).cast("int").alias("end")))
         rows = written(both.filter(me == F.col("one")).withColumn("done", F.col("done") | (F.col("n") > 1)).drop("n", "one"))
 
 
 def repeats(docs: DataFrame, length: int, digit: int, block: int) -> DataFrame:
-    """d, crc, start, end of stretches all of whose bytes go; docs: text, d, crc."""
+    """d, h, start, end of stretches all of whose bytes go; docs: text, d, h."""
     reach = length - digit
     all_anchors = written(anchors(docs, length, digit))
-    twice = all_anchors.groupBy("key").count().filter("count > 1").select("key")
-    some = written(all_anchors.join(twice, "key", "left_semi"))
-    discard(all_anchors)
+    places = all_anchors.count()
+    twice = written(all_anchors.groupBy("key").count().filter("count > 1"))
+    some = written(spread_join(all_anchors, twice, ["key"], "count", places))
+    discard(all_anchors, twice)
     covers = written(some.groupBy("key", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*REF, "pos")).alias("one")))
-    whole = some.join(covers.filter("n > 1").select("key", "cover"), ["key", "cover"], "left_semi")
+    whole = spread_join(some, covers.filter("n > 1").select("key", "cover", "n"), ["key", "cover"], "n", places)
     whole = whole.select(*REF, (F.col("pos") - reach).cast("int").alias("start"), (F.col("pos") + digit + reach).cast("int").alias("end"))
-    mixed = covers.groupBy("key").count().filter("count > 1").select("key")
-    ones = covers.join(mixed, "key", "left_semi").select("key", (F.col("n") > 1).alias("done"), "one.*")
+    mixed = covers.groupBy("key").count().filter("count > 1")
+    ones = spread_join(covers, mixed, ["key"], "count", places).select("key", (F.col("n") > 1).alias("done"), "one.*")
     by_doc = ones.groupBy(*REF).agg(F.collect_list(F.struct("key", "pos", "done")).alias("places"))  # fewer than the text has bytes
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,7 @@ def repeats(docs: DataFrame, length: int, digit: int, block: int) -> DataFrame:
                 )
 
     one_text = docs.join(by_doc, REF)
-    rows = one_text.select("text", *REF, "places").mapInArrow(contexts, "key long, d long, crc long, pos int, done boolean, left int, ctx binary")
+    rows = one_text.select("text", *REF, "places").mapInArrow(contexts, "key long, d long, h long, pos int, done boolean, left int, ctx binary")
     # rows that repeat a doc_id and its text give the same places; only where there are any are they dropped
     again = docs.groupBy(*REF).count().filter("count > 1").limit(1).count()
     rows = rows.dropDuplicates([*REF, "pos"]) if again else rows
@@ -340,7 +342,7 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (start and end bytes) and kept (binary) of every row of docs."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.crc32(text).alias("crc"))
+    base = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(9), text)).alias("d"), F.xxhash64(text).alias("h"))
     found = repeats(base, length, digit, block)
     spans = found.groupBy(*REF).agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
@@ -361,7 +363,3 @@ def remove(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT, block: int
 
     joined = base.join(spans, REF, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: int, end: int>>, kept binary")
-
-
-
-
