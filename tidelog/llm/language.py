@@ -3,11 +3,13 @@
 A word's features are its affixes, its character n-grams and, for frequent words of the training sample, the word
 itself; transitions between the languages of neighbouring words are learned. Training sequences are runs of words from
 documents of one or more languages, so that switches occur. Forward-backward gives each word the marginal probability of
-each language; a document's language has the largest sum, its score is the mean. Long texts are read in blocks of words
-with enough words around them for the chain to forget where the block began.
+each language; a document's language has the largest sum, its score is the mean. Long texts are cut into blocks of words
+so that numpy steps through many at once; the blocks' transfer matrices carry the chain over the cuts, so that marginals
+are those of the whole sequence.
 
-The model is fitted on a bounded sample: `per_lang` documents of each language at most, of at most `sample_chars`
-characters, chosen by a hash. Prediction reads nothing but the text.
+The model is fitted on a bounded sample: `per_lang` documents of each language at most (and about `sample_docs` in all, one
+of each language at least), of each at most `sample_chars` characters in a row from a place that a hash chooses. Texts of
+any length teach. Prediction reads nothing but the text, all of it.
 
 Nulls and edge cases: a null text, or one without letters, is `und` with score 0; so is any text where no language
 could be learned. Documents of null lang teach nothing. Ties go to the first language by name. Repeated rows get equal
@@ -17,7 +19,6 @@ results; further columns are kept.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,17 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_broadcast
+from tidelog.llm.common import bounded_broadcast, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, LEXICON, CACHE, CHARS_AT_ONCE = 1 << 15, 2000, 150_000, 1_500_000
 NONE = BUCKETS + LEXICON  # the row of weights that stays zero
-#: Longer texts are read in blocks, each with so many words on both sides, over which a chain forgets where it began.
-BLOCK, CONTEXT = 512, 64
+BLOCK = 512  # words that one block of a long text has
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; other numbers than decimal digits (fractions, Roman numerals) are no letters."""
+    words = WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ("".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +67,20 @@ def sums(weights: np.ndarray, rows: np.ndarray, starts: np.ndarray, lexical: np.
     return np.add.reduceat(weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]], starts, axis=0) + weights[lexical]
 
 
-def forward_backward(em: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Marginals of every word; em: positive emission factors of all words; the sequences come longest first."""
+def forward_backward(em: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of every word; em: positive emission factors of all words; the sequences come longest first.
+
+    first and last: what the words before and after a sequence say of its first and last word (nothing, if None).
+    """
     n_labels, longest = em.shape[1], int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # sequences longer than t
     alpha, out = np.empty_like(em), np.empty_like(em)
-    a = np.ones((len(starts), n_labels))
+    a = np.ones((len(starts), n_labels)) if first is None else first
+    last = np.full((len(starts), n_labels), 1.0 / n_labels) if last is None else last
     for t in range(longest):
         k = active[t]
         at = starts[:k] + t
-        a = em[at] if t == 0 else (a[:k] @ trans) * em[at]
+        a = a * em[at] if t == 0 else (a[:k] @ trans) * em[at]
         a = a / a.sum(1, keepdims=True)
         alpha[at] = a
     b = np.empty((0, n_labels))
@@ -82,13 +90,23 @@ def forward_backward(em: np.ndarray, trans: np.ndarray, starts: np.ndarray, leng
             b = (b * em[starts[: len(b)] + t + 1]) @ trans.T
             b /= b.sum(1, keepdims=True)
         if len(b) < k:
-            b = np.concatenate([b, np.full((k - len(b), n_labels), 1.0 / n_labels)])
+            b = np.concatenate([b, last[len(b) : k]])
         at = starts[:k] + t
         p = alpha[at] * b
         out[at] = p / p.sum(1, keepdims=True)
     return out
 
 
+def transfers(em: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """D(em_1) T D(em_2) ... T D(em_m) of each block, up to a factor; blocks come longest first."""
+    out = np.eye(em.shape[1]) * em[starts][:, None, :]
+    for t in range(1, int(lengths[0])):
+        k = int(np.searchsorted(-lengths, -t, side="left"))
+        step = (out[:k] @ trans) * em[starts[:k] + t][:, None, :]
+        out[:k] = step / step.sum((1, 2), keepdims=True)
+    return out / out.sum((1, 2), keepdims=True)
+
+
 class Crf:
     """labels, lexicon, weights (feature x label) and transition scores (from x to)."""
 
@@ -119,19 +137,27 @@ class Crf:
 
     def marginals(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Marginals of each word of each sequence; no sequence is empty."""
-        blocks = []
-        for i, words in enumerate(sequences):
-            for at in range(0, len(words), BLOCK):
-                lo, hi = max(0, at - CONTEXT), min(len(words), at + BLOCK + CONTEXT)
-                blocks.append((hi - lo, i, lo, hi, at - lo, min(at + BLOCK, len(words)) - lo))
+        blocks = [(min(BLOCK, len(words) - at), i, at) for i, words in enumerate(sequences) for at in range(0, len(words), BLOCK)]
         blocks.sort(key=lambda x: (-x[0], x[1], x[2]))
         lengths = np.array([b[0] for b in blocks])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        p = forward_backward(self.emissions([w for _, i, lo, hi, _, _ in blocks for w in sequences[i][lo:hi]]), np.exp(self.trans), starts, lengths)
-        parts: list[list[tuple[int, np.ndarray]]] = [[] for _ in sequences]
-        for (_, i, lo, _, a, b), s in zip(blocks, starts):
-            parts[i].append((lo, p[s + a : s + b]))
-        return [np.concatenate([x for _, x in sorted(ps, key=lambda y: y[0])]) if len(ps) > 1 else ps[0][1] for ps in parts]
+        em, trans, n = self.emissions([w for size, i, lo in blocks for w in sequences[i][lo : lo + size]]), np.exp(self.trans), len(self.labels)
+        first, last = np.ones((len(blocks), n)), np.full((len(blocks), n), 1.0 / n)
+        place = {(i, lo): k for k, (_, i, lo) in enumerate(blocks)}
+        cut = np.array([k for k, (_, i, _) in enumerate(blocks) if len(sequences[i]) > BLOCK], np.int64)
+        if len(cut):
+            moved = dict(zip(cut.tolist(), transfers(em, trans, starts[cut], lengths[cut])))
+            for i, words in enumerate(sequences):
+                ks = [place[i, lo] for lo in range(0, len(words), BLOCK)]
+                for k, nxt in zip(ks, ks[1:]):
+                    a = first[k] @ moved[k] @ trans
+                    first[nxt] = a / a.sum()
+                for k, before in zip(ks[:0:-1], ks[-2::-1]):
+                    b = trans @ (moved[k] @ last[k])
+                    last[before] = b / b.sum()
+        p = forward_backward(em, trans, starts, lengths, first, last)
+        parts = [[place[i, lo] for lo in range(0, len(words), BLOCK)] for i, words in enumerate(sequences)]
+        return [np.concatenate([p[starts[k] : starts[k] + lengths[k]] for k in ks]) for ks in parts]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -241,16 +267,19 @@ def fit(docs: list[tuple[str, str]], count: int = 3000, length: int = 40, epochs
     return crf
 
 
-def sample(docs: DataFrame, taught: Column, per_lang: int, sample_chars: int) -> list[tuple[str, str]]:
-    """At most per_lang (text, lang) pairs of each language among the taught rows."""
-    rows = docs.filter(taught & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
+def sample(docs: DataFrame, taught: Column, per_lang: int, sample_docs: int, sample_chars: int) -> list[tuple[str, str]]:
+    """At most per_lang (piece of text, lang) pairs of each language among the taught rows."""
+    rows = docs.filter(taught & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a hash first picks about three times as many of each language, so that few rows move at any size
-    sizes = bounded_broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")))
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")))
+    most = min(per_lang, max(1, sample_docs // max(1, sizes.count())))
     order = F.xxhash64("doc_id", "text")
-    few = rows.join(sizes, "lang").filter(F.pmod(order, F.lit(1_000_003)) * F.col("of_lang") < 1_000_003 * 3 * per_lang)
-    first = W.partitionBy("lang").orderBy(order, F.col("text"))
-    picked = few.select("doc_id", "text", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
-    return sorted((r.text, r.lang) for r in picked.select("text", "lang").collect())
+    few = rows.join(bounded_broadcast(sizes), "lang").filter(F.pmod(order, F.lit(1_000_003)) * F.col("of_lang") < 1_000_003 * 3 * most)
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - sample_chars + 1)).cast("int") + 1
+    few = few.select("lang", order.alias("order"), F.substring("text", at, F.lit(sample_chars)).alias("text"))
+    first = W.partitionBy("lang").orderBy("order", "text")
+    picked = few.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most)
+    return sorted((r.text, r.lang) for r in picked.select("text", "lang").collect())  # its size is bounded
 
 
 def identify(docs: DataFrame, model: Crf, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -270,5 +299,5 @@ def held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
-def learn_and_identify(docs: DataFrame, taught: Column, per_lang: int = 300, sample_chars: int = 20_000, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    return identify(docs, fit(sample(docs, taught, per_lang, sample_chars)), names)
+def learn_and_identify(docs: DataFrame, taught: Column, per_lang: int = 300, sample_docs: int = 6000, sample_chars: int = 4000, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    return identify(docs, fit(sample(docs, taught, per_lang, sample_docs, sample_chars)), names)
