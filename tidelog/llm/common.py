@@ -69,13 +69,13 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], of: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], of: str, total: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """rows joined on keys (never null) with named, which has a row for each key and in `of` how many rows the key has.
 
-    Keys of over 2 * total / BROADCAST_ROWS rows, at most BROADCAST_ROWS / 2 by their sum, are broadcast, so that no task
-    gets all rows of one; the others are shuffled. total: the number of rows, or more.
+    Keys of over 2 * total / most rows are broadcast, so that no task gets all rows of one: there are at most most / 2, as
+    their sum is total at most. The others are shuffled. total: the number of rows, or more.
     """
-    least = max(1000, 2 * total // BROADCAST_ROWS)
+    least = max(1000, 2 * total // most)
     hot, cold = F.broadcast(named.filter(F.col(of) > least).drop(of)), named.filter(F.col(of) <= least).drop(of)
     out = rows.join(hot, keys)
     return out.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*out.columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, components, groups, in_blocks, written
+from tidelog.llm.common import Forest, components, groups, in_blocks, spread_join, written
 
 TABLES, FUNCTIONS, WIDTH, BLOCK, SEED = 12, 10, 1.6, 2048, 20240607
 
@@ -61,7 +61,9 @@ def signatures(nodes: DataFrame, tables: int = TABLES, functions: int = FUNCTION
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    # floats stay floats on their way, and are doubles where they are multiplied
+    kind = rows.schema["embedding"].dataType.simpleString()
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     big = F.lit(float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -74,7 +76,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = TABLES,
         nodes = nodes.withColumn("first_id", F.col("node"))
     sigs = written(signatures(nodes, tables, functions, width))
     keyed = sigs.select("node", F.posexplode("sig").alias("t", "h"))
-    dealt = in_blocks(keyed, ["t", "h"], "node", block)
+    nodes_n, rows_n = nodes.count(), rows.count()
+    dealt = in_blocks(keyed, ["t", "h"], "node", block, nodes_n * tables)
     full = dealt.join(sigs, "node").join(nodes.select("node", "copies", "embedding"), "node")
     full = full.repartition("t", "h", "i", "j").sortWithinPartitions("t", "h", "i", "j")
 
@@ -87,7 +90,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = TABLES,
             n, t = g.num_rows, g.column("t")[0].as_py()
             node, copies, blk = (g.column(c).to_numpy() for c in ("node", "copies", "blk"))
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            v = np.concatenate([c.flatten().to_numpy() for c in g.column("embedding").chunks]).reshape(n, -1)
+            v = np.concatenate([c.flatten().to_numpy() for c in g.column("embedding").chunks]).astype(np.float64).reshape(n, -1)
             sig = np.concatenate([c.flatten().to_numpy() for c in g.column("sig").chunks]).reshape(n, -1)
             v = v / np.abs(v).max(1, keepdims=True)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -120,8 +123,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, tables: int = TABLES,
     comp = components(found.filter("v is not null").select("u", "v"))
     named = nodes.join(counts, nodes.node == counts.u, "left").join(comp, nodes.node == comp.id, "left")
     named = written(named.select("label", "embedding", "first_id", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("c")))
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    by_vector = named.join(least, "c").select("label", "embedding", (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = rows.filter("usable").join(by_vector, ["label", "embedding"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_vector = spread_join(named, least, ["c"], "n", nodes_n).select("label", "embedding", (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id", "copies")
+    # vectors are wide: few of them are broadcast
+    linked = spread_join(rows.filter("usable"), written(by_vector), ["label", "embedding"], "copies", rows_n, 10_000).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

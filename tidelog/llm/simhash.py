@@ -2,9 +2,9 @@
 
 Fingerprints within `radius` bits agree on at least two of radius + 2 blocks of their bits, so every pair of blocks is a
 shard key and linked fingerprints share a shard. Each shard's distinct fingerprints form a BK-tree (children keyed by
-their Hamming distance to the parent); a search follows only edges within the radius. A tree covers `block`
-fingerprints at most: larger shards are several trees, and each tree is sent to every block of its shard. Trees reach
-the tasks by a shuffle, not by a driver-side broadcast, because all trees together hold all fingerprints.
+their Hamming distance to the parent); a search follows only edges within the radius. Shards of over `block` fingerprints are
+cut into blocks; each pair of blocks is a tree of its own, in which its fingerprints look for each other. Trees are built
+where the rows of a pair are shuffled to, not broadcast by the driver, because all trees together hold all fingerprints.
 
 Nulls and edge cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other;
 repeated rows share a fingerprint and so a component; a null doc_id never becomes a component_id unless its component
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, components, groups, in_blocks, written
+from tidelog.llm.common import Forest, components, groups, in_blocks, spread_join, written
 
 SEED = 42
 BLOCK = 4096
@@ -178,23 +178,26 @@ def searched(dealt: DataFrame, keys: list[str], lanes: list[str], node: str, rad
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
 
 
-def link(values: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between the distinct fingerprints fp of values."""
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(shard_keys(radius))])
+def link(values: DataFrame, total: int, radius: int = 2, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between the distinct fingerprints fp of values, which has total rows."""
+    shards = shard_keys(radius)
+    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(shards)])
     rows = values.select("fp", F.explode(masks).alias("k")).select("fp", "k.t", "k.part")
-    return searched(in_blocks(rows, ["t", "part"], "fp", block), ["t", "part", "i", "j"], ["fp"], "fp", radius)
+    return searched(in_blocks(rows, ["t", "part"], "fp", block, total * len(shards)), ["t", "part", "i", "j"], ["fp"], "fp", radius)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """doc_id, fp (signed), fingerprint (hex), component_id of every row of docs."""
     fps = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size).select("doc_id", "fp"))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comp = components(link(nodes.select("fp"), radius, block))
-    named = nodes.join(comp, nodes.fp == comp.id, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("c"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+    total = nodes.count()
+    comp = components(link(nodes.select("fp"), total, radius, block))
+    named = nodes.join(comp, nodes.fp == comp.id, "left").select("fp", "first_id", "rows", F.coalesce("component", "fp").alias("c"))
     named = written(named)
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "c").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_fp = spread_join(named, least, ["c"], "n", total).select("fp", "component_id", "rows")
+    out = spread_join(fps, by_fp, ["fp"], "rows", fps.count())
+    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Similarity of 0.8 needs more bits than 64: shingles sharing 0.8 differ in about 0.15 of the bits, unlike texts in half.
@@ -246,8 +249,10 @@ def similar_documents(docs: DataFrame, size: int = 5, lanes: int = LANES, tables
 
     fps = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), fp("text").alias("p"))
     fps = written(fps.select("doc_id", "h", F.xxhash64("p.f").alias("node"), *[F.element_at("p.f", k + 1).alias(n) for k, n in enumerate(names)], "p.keys"))
-    nodes = written(fps.groupBy("node").agg(*[F.first(n).alias(n) for n in names]))
+    nodes = written(fps.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.count(F.lit(1)).alias("rows")))
+    total = nodes.count()
     rows = fps.select("node", F.explode("keys").alias("key")).distinct()
-    dealt = in_blocks(rows, ["key"], "node", block).join(nodes, "node")
+    dealt = in_blocks(rows, ["key"], "node", block, total * tables).join(nodes.drop("rows"), "node")
     comp = components(searched(dealt, ["key", "i", "j"], names, "node", within))
-    return fps.join(comp, fps.node == comp.id, "left").select("doc_id", fps["h"], F.coalesce("component", "node").alias("component"))
+    named = nodes.join(comp, nodes.node == comp.id, "left").select("node", "rows", F.coalesce("component", "node").alias("component"))
+    return spread_join(fps.select("doc_id", "h", "node"), written(named), ["node"], "rows", fps.count()).select("doc_id", "h", "component")
