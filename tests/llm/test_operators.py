@@ -156,6 +156,28 @@ def test_substrings(spark, block):
     assert substrings.remove(documents(spark, [])).count() == 0
 
 
+def test_substrings_of_clashing_ids(spark):
+    """Texts of one doc_id or none, of one CRC-32: what one loses the other keeps."""
+    rng = np.random.default_rng(6)
+    seen: dict[int, str] = {}
+    while True:  # two texts of one CRC-32 by birthday
+        t = "".join(map(chr, rng.integers(97, 123, 12)))
+        if zlib.crc32(t.encode()) in seen and seen[zlib.crc32(t.encode())] != t:
+            one, other = seen[zlib.crc32(t.encode())], t
+            break
+        seen[zlib.crc32(t.encode())] = t
+    tail = prose(41, 150)
+    a, b = one + tail, other + tail  # equal tails keep the CRC-32 equal
+    b_only = other + tail
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode()) and a != b
+    for i in (None, 5):
+        texts = [a, b_only, prose(42, 100), prose(42, 100), prose(43, 100)]
+        docs = documents(spark, texts, ids=[i, i, i, 7, i] if i else [None] * 5)
+        want = Counter(slow_removal([t.encode() for t in texts]))
+        got = Counter(map(tuple, substrings.remove(docs).select("n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()))
+        assert got == want
+
+
 def test_pii_base_spans(spark):
     texts = ["a@b.c_d@e.f and x.y%z@q-r.s.t.", "1.2.3.4.5.6.7.8 999.1.1.1 256.0.0.1 001.02.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112 4699858775519183x 12 34  5", "+1 (555) 555-1234. +12 +1-2-3 +49..30..123456)", None, "", "😀 é a@b.cd 😀 1.1.1.1", "a" * 20_000 + "@x.y", "1-" * 9000, "1." * 5000, "0" * 25 + " +" + "1" * 16]
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -202,6 +224,29 @@ def test_language(spark):
     assert [words.labels[k] for k in marks] == ["bb"] * 9 + ["aa"] * 9
 
 
+def test_blocks_give_the_marginals_of_the_whole_sequence(monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = [f"{x}{y}ung" for x in "bdg" for y in "aeo"], [f"{x}{y}tion" for x in "prl" for y in "iuy"]
+    crf = language.fit([(" ".join(rng.choice(a if i % 2 else b, 30)), "ab"[i % 2]) for i in range(40)])
+    crf.weights *= 0.05  # so that neighbours matter
+    seqs = [list(rng.choice([*a, *b, "zzz"], n)) for n in (3, 40, 129, 64, 65)]
+    monkeypatch.setattr(language, "BLOCK", 10**9)
+    want = crf.marginals(seqs)
+    monkeypatch.setattr(language, "BLOCK", 16)
+    assert max(np.abs(x - y).max() for x, y in zip(want, crf.marginals(seqs))) < 1e-12
+
+
+def test_language_edges(spark):
+    text = " ".join(["bagung dedung"] * 9000)  # longer than any piece that teaches
+    texts, langs = ["patiyn rytion " * 20, text, "½² Ⅷ ① 12", "Ⅷ bagung", None], ["bb", "aa", None, None, "aa"]
+    out = {r.doc_id: r for r in language.learn_and_identify(documents(spark, texts, langs), F.lit(True)).collect()}
+    assert [out[i].lang_pred for i in range(5)] == ["bb", "aa", "und", "aa", "und"]
+    assert language.words_of("x½y Ⅷz_1") == ["x", "y", "z"]
+    assert language.learn_and_identify(documents(spark, []), F.lit(True)).count() == 0
+    twice = language.learn_and_identify(documents(spark, texts[:2] * 2, langs[:2] * 2, ids=[None] * 4), F.lit(True)).collect()
+    assert len(twice) == 4 and len({(r.lang_pred, r.score) for r in twice}) == 2
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
@@ -225,6 +270,15 @@ def test_quality(spark):
     assert [r.score for r in quality.learn_and_score(documents(spark, ["a"]), labels.limit(0), F.lit(True)).collect()] == [0.5]
 
 
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0, "") for i in range(40)] * 2, "doc_id long, quality int, toxic int, text string")
+    texts = [f"BUY!! {i} " * 30 if i % 2 else prose(i, 60) for i in range(40)]
+    out = quality.learn_and_score(documents(spark, texts * 2, ids=[*range(40)] * 2), labels, F.lit(True)).collect()
+    assert len(out) == 80 and len({(r.doc_id, r.score) for r in out}) == 40
+    assert quality.learn_and_score(documents(spark, []), labels, F.lit(True)).count() == 0
+    assert len(quality.learn_and_score(documents(spark, ["a", None], ids=[None, None]), labels, F.lit(True)).collect()) == 2
+
+
 def test_forest_arrays_equal_node_walk():
     rng = np.random.default_rng(0)
     x = rng.random((400, 5))

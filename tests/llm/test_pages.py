@@ -1,5 +1,8 @@
 """Main text of pages that no article tag decides, by hand."""
 
+import math
+import time
+
 from tidelog.llm import pages
 
 
@@ -38,3 +41,62 @@ def test_links_inside_the_content_stay():
     assert marks(f"<body><article><div>{long('A')}</div>{sources}{cell}</article></body>") == a + links
     assert marks(f"<body><div>{long('A')}{sources.replace('<ul', '<ul class=menu')}<nav>{sources}</nav></div></body>") == a
     assert marks(f"<body>{sources}{long('A')}</body>") == a
+
+
+def test_end_tags_take_constant_time():
+    k = 100_000
+    for html in ("<b>" * k + "x</i>" * k, "<i><div>" + "<b>" * k + "x</i>" * k, "<div>" * k + "x" + "</div>" * k, "<ul><li>" * k + "x"):
+        began = time.time()
+        assert pages.main_text(html)
+        assert time.time() - began < 30
+
+
+def brute_density(n: pages.Node, share: float) -> float:
+    chars, tags, link_chars, link_tags = 0, 0, 0, 0
+
+    def walk(x, in_link):
+        nonlocal chars, tags, link_chars, link_tags
+        for y in x.parts:
+            if isinstance(y, str):
+                size = sum(not c.isspace() for c in y)
+                chars += size
+                link_chars += size if in_link else 0
+            elif y.keep:
+                tags += 1
+                link_tags += y.tag == "a"
+                walk(y, in_link or y.tag == "a")
+
+    walk(n, n.tag == "a")
+    if not chars:
+        return 0.0
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / t * math.log(max(math.e, chars / lc * t / lt)) / max(1.0, base)
+
+
+def test_density_against_brute_force():
+    html = f"<body><div id=x>{long('A', 3)}<p>see <a href=a>here <b>now</b></a></p></div><ul><li><a href=b>One</a></li></ul><section><div>{long('B', 2)}</div>tail</section></body>"
+    tree = pages.Tree()
+    tree.feed(html)
+    order = pages.measure(tree.root)
+    pages.densities(order, tree.root)
+    share = tree.root.lc / tree.root.c
+    for n in order:
+        assert abs(n.density - brute_density(n, share)) < 1e-9
+        assert abs(n.total - sum(brute_density(x, share) for x in n.parts if isinstance(x, pages.Node) and x.keep)) < 1e-9
+
+
+def test_density_decides_without_names_or_landmarks(monkeypatch):
+    links = "".join(f"<li><a href=/{k}>Link{k}</a> go</li>" for k in range(12))
+    html = f"<body><div class=a><ul>{links}</ul><p>Tiny</p></div><div class=b>{long('S')}</div><div class=c><i>Note</i><i>Other</i><b>More</b></div></body>"
+    story = [f"S{k}" for k in range(5)]
+    assert marks(html) == story
+    monkeypatch.setattr(pages, "density_of", lambda *_: 1.0)
+    assert marks(html) != story
+
+
+def test_empty_and_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{long('A')}</p>"), (1, "u", f"<p>{long('A')}</p>"), (None, None, "<p>x")], "page_id long, url string, html string")
+    out = pages.extract(df).collect()
+    assert len(out) == 3 and out[0] == out[1] and out[2].text == "x"
+    assert pages.extract(df.limit(0)).count() == 0
