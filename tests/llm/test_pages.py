@@ -71,7 +71,8 @@ def brute_density(n: pages.Node, share: float) -> float:
         return 0.0
     t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
     base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
-    return chars / t * math.log(max(math.e, chars / lc * t / lt)) / max(1.0, base)
+    # the logarithm's base is a logarithm itself
+    return chars / t * math.log(max(math.e, chars / lc * t / lt)) / math.log(max(math.e, base))
 
 
 def test_density_against_brute_force():

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.session import on_workers
@@ -69,14 +70,17 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], of: str, total: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, named: DataFrame, keys: list[str], of: str, total: int, most: int = BROADCAST_ROWS, without: bool = False) -> DataFrame:
     """rows joined on keys (never null) with named, which has a row for each key and in `of` how many rows the key has.
 
     Keys of over 2 * total / most rows are broadcast, so that no task gets all rows of one: there are at most most / 2, as
-    their sum is total at most. The others are shuffled. total: the number of rows, or more.
+    their sum is total at most. The others are shuffled. total: the number of rows, or more. without: the rows that have
+    no match instead.
     """
     least = max(1000, 2 * total // most)
     hot, cold = F.broadcast(named.filter(F.col(of) > least).drop(of)), named.filter(F.col(of) <= least).drop(of)
+    if without:
+        return rows.join(hot.select(*keys), keys, "left_anti").join(cold.select(*keys), keys, "left_anti")
     out = rows.join(hot, keys)
     return out.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*out.columns))
 
@@ -179,20 +183,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str = "rank", weigh: str | None = None) -> DataFrame:
     """df with a gapless 0-based rank within keys, in the order of (chunk, order); no task holds more than a chunk of a key.
 
     chunk is an integer column that says which part of the key a row is in. Sizes of the parts are summed first; a
-    running sum over parts (few rows) and one over the rows of each part give the rank.
+    running sum over parts (few rows) and one over the rows of each part give the rank. weigh: a column of integers that
+    is summed over the rows before each instead.
     """
-    from pyspark.sql import Window as W
-
+    one = F.lit(1) if weigh is None else F.col(weigh)
     d = df.withColumn("_chunk", chunk)
-    sizes = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = d.groupBy(*keys, "_chunk").agg(F.sum(one).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     names = [*keys, "_chunk"]
     starts = sizes.select(*[F.col(k).alias(f"_at_{k}") for k in names], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     cond = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in names]
     both = d.join(starts, cond).drop(*[f"_at_{k}" for k in names])
-    inner = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    return both.withColumn(name, (F.col("_start") + F.row_number().over(inner) - 1).cast("long")).drop("_chunk", "_start")
+    inner = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return both.withColumn(name, (F.col("_start") + F.coalesce(F.sum(one).over(inner), F.lit(0))).cast("long")).drop("_chunk", "_start")

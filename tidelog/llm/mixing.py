@@ -1,15 +1,19 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-The word is the unit: with a rate r_d for each document, relative entropy sum of size_d * (r_d log r_d - r_d) is
-minimised under one token constraint a source, sum of size_d * r_d = target. The dual is convex and separates by
-source; its gradient S_s * exp(l_s) - T_s and curvature S_s * exp(l_s) need only the sums S_s, which Spark reduces once
-with map-side partial sums. Newton's steps start at the cap (rate 2), from where they fall monotonically to the root.
-Documents then have the exponentially tilted rate exp(l_s) <= 2.
+The word is the unit: with a rate r_d <= cap for each document, relative entropy sum of size_d * (r_d log r_d - r_d) is
+minimised under one token constraint a source, sum of size_d * r_d = target, and one that all sources share: the mix keeps
+the corpus's mean length of a word's document, sum of size_d * r_d * x_d = 0 with x_d the standardised log of the size. That
+one is soft (`ridge` times the words is its penalty), since sources at their caps may leave no exact solution. Documents
+have the exponentially tilted rate min(cap, exp(l_s + m * x_d)).
 
-Rates become copies (0, 1 or 2) by systematic rounding along the documents ordered by size, so that the error of a source
-stays below its largest documents; a last greedy step adds or takes single copies of a few documents of graded sizes
-until the error is below the smallest that helps. Ranks are gapless sums over bounded chunks: a hot source is
-never in one task.
+The dual is convex in (l, m). Each Newton step reduces its gradient and Hessian in Spark over the counts of (source, size),
+which the documents are summed to once: sources meet only in m, so the Hessian is an arrow, and its Schur complement is
+one number. Steps are at most 1 long in each l; they end when every source is within 1e-9 of its target.
+
+Rates become copies (0, 1 or 2) by systematic rounding of their running sum along the documents ordered by size, in whole
+millionths, so that reruns agree and the error of a source stays below its largest documents; a last greedy step adds or
+takes single copies of a few documents of graded sizes until the error is below the smallest that helps. Running sums are
+over bounded chunks: a hot source is never in one task.
 
 Nulls and edge cases: a null text has size 0; null is a source of its own, the last; repeated rows are documents of
 their own; an empty table gives an empty result; sources of no words get target 0. Equal rows may swap their copies.
@@ -23,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, bounded_broadcast, ranked, written
+from tidelog.llm.common import WORD, bounded_broadcast, chunks, ranked, written
 
-NEWTON_STEPS = 64
-CHUNK = 100_000
+NEWTON_STEPS, RIDGE, CHUNK, UNIT = 60, 0.05, 2000, 1_000_000
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -48,26 +51,61 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     return s.withColumn("target", F.least("most", F.coalesce(F.col("weight") * F.col("water"), F.col("most")))).select("source", "source_size", "target")
 
 
-def rates(sources: DataFrame, cap: float) -> DataFrame:
-    """sources with rate = exp(l): Newton on the dual, l <- l - (S e^l - T) / (S e^l), from l = log(cap)."""
-    wanted = F.col("target") / F.col("source_size")
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.log(F.lit(float(cap))), lambda l, _: l - 1 + wanted * F.exp(-l))
-    return sources.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.exp(root), F.lit(float(cap)))).otherwise(F.lit(0.0)))
+def rates(cells: DataFrame, sources: DataFrame, cap: float, ridge: float = RIDGE, steps: int = NEWTON_STEPS) -> tuple[DataFrame, float, tuple[float, float]]:
+    """(sources with l, m, (mean, sd) of the log sizes) at the dual's optimum; cells: source, size, n; sources of targets()."""
+    log = F.log2(F.greatest("size", F.lit(1)).cast("double"))
+    words = (F.col("size") * F.col("n")).cast("double")
+    total = cells.agg(F.sum(words).alias("w"), F.sum(words * log).alias("wx"), F.sum(words * log * log).alias("wxx")).first()
+    w = total.w or 0.0
+    mean = total.wx / w if w else 0.0
+    sd = max(1e-9, max(0.0, total.wxx / w - mean**2) ** 0.5) if w else 1.0
+    # a source at its cap has every document there, one of no words or target has none
+    kind = F.when((F.col("source_size") <= 0) | (F.col("target") <= 0), "none").when(F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), "full").otherwise("free")
+    start = F.when(kind == "free", F.log(F.col("target") / F.col("source_size"))).otherwise(F.when(kind == "full", F.lit(1e3)).otherwise(F.lit(-1e3)))
+    state, m = written(sources.select("source", "source_size", "target", kind.alias("kind"), start.alias("l"))), 0.0
+    c = cells.filter("size > 0").select(F.col("source").alias("at"), words.alias("w"), ((log - mean) / sd).alias("x"))
+    for _ in range(steps):
+        both = c.join(bounded_broadcast(state), F.col("at").eqNullSafe(F.col("source")))
+        tilt = F.exp(F.col("l") + m * F.col("x"))
+        r = F.col("w") * F.least(tilt, F.lit(float(cap)))
+        inner = F.when(tilt < cap, r).otherwise(0.0)
+        sums = both.groupBy("source", "source_size", "target", "kind", "l").agg(F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("g"), F.sum(inner).alias("a"), F.sum(inner * F.col("x")).alias("b"), F.sum(inner * F.col("x") ** 2).alias("c"))
+        sums = written(sums.withColumn("f", F.when(F.col("kind") == "free", F.col("target") - F.col("r")).otherwise(0.0)))
+        free = (F.col("kind") == "free") & (F.col("a") > 0)
+        of = lambda x: F.coalesce(F.sum(F.when(free, x)), F.lit(0.0))
+        got = sums.agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("g"), of(F.col("c")).alias("c"), of(F.col("b") * F.col("f") / F.col("a")).alias("bf"), of(F.col("b") ** 2 / F.col("a")).alias("bb"), F.coalesce(F.max(F.abs("f") / F.col("target")), F.lit(0.0)).alias("miss")).first()
+        gradient = -got.g - ridge * w * m
+        if got.miss <= 1e-9 and abs(gradient) <= 1e-7 * max(1.0, w):
+            break
+        step = max(-1.0, min(1.0, (gradient - got.bf) / (ridge * w + max(0.0, got.c - got.bb))))
+        # without a document below the cap a source has no curvature: it goes down, or up, by the longest step
+        move = F.when(F.col("kind") != "free", 0.0).when(F.col("a") > 0, (F.col("f") - F.col("b") * step) / F.col("a")).otherwise(F.signum("f"))
+        rest = state.join(bounded_broadcast(sums.select(F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+        state, m = written(sums.select("source", "source_size", "target", "kind", (F.col("l") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias("l")).unionByName(rest)), m + step
+    else:
+        raise RuntimeError(f"the dual did not settle in {steps} steps")
+    return state, m, (mean, sd)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, keep: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """doc_id, the columns keep, size, source_size, target, rate, copies and taken of every row of docs."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    d = written(docs.select("doc_id", "source", size.alias("size"), *keep))
-    sums = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = written(rates(targets(sums, weights, share, cap), cap))
-    parts = max(1, -(-d.count() // chunk))
-    order = F.xxhash64(F.lit(11), "doc_id", "size")
+    d = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(11), "doc_id", "text").alias("_order"), *keep))
+    cells = written(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    state, m, (mean, sd) = rates(cells, targets(sums, weights, share, cap), cap)
+    parts = chunks(d.count(), chunk)
+    at = state.select(F.col("source").alias("_at"), "source_size", "target", "l")
+    tilt = F.exp(F.col("l") + m * (F.log2(F.greatest("size", F.lit(1)).cast("double")) - mean) / sd)
+    r = d.join(bounded_broadcast(at), F.col("source").eqNullSafe(F.col("_at"))).withColumn("rate", F.least(tilt, F.lit(float(cap)))).drop("_at", "l")
+    r = r.withColumn("_units", F.round(F.col("rate") * UNIT).cast("long"))
     grade = F.floor(4 * F.log2(F.greatest("size", F.lit(1)).cast("double"))).cast("long")
-    r = ranked(d, ["source"], [F.col("size"), order, F.col("doc_id")], grade * parts + F.pmod(order, F.lit(parts)), "nth")
-    r = r.join(bounded_broadcast(sources), r.source.eqNullSafe(sources.source), "left").drop(sources.source)
-    steps = lambda at: F.floor(at * F.col("rate") + 0.5)
-    first = written(r.withColumn("copies", (steps(F.col("nth") + 1) - steps(F.col("nth"))).cast("int")))
+    order = [F.col("size"), F.col("_order"), F.col("doc_id")]
+    r = ranked(r, ["source"], order, grade * parts + F.pmod(F.col("_order"), F.lit(parts)), "_ahead", "_units")
+    half = UNIT // 2
+    whole = lambda x: F.floor((x + half) / F.lit(UNIT))
+    r = ranked(r.withColumn("copies", (whole(F.col("_ahead") + F.col("_units")) - whole(F.col("_ahead"))).cast("int")), ["source"], order, grade * parts + F.pmod(F.col("_order"), F.lit(parts)), "nth")
+    first = written(r.drop("_units", "_ahead", "_order"))
 
     # what a source misses or has too much is made up by one document of each grade of sizes and direction at most
     miss = first.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("sum"))
@@ -88,6 +126,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
     picks = m.select("source", F.explode(pick["picked"]).alias("p")).select(F.col("source").alias("at"), F.col("p.nth").alias("at_nth"), "p.turn")
     picks = bounded_broadcast(written(picks))
-    out = first.join(picks, first.source.eqNullSafe(picks["at"]) & (first.nth == picks.at_nth), "left")
+    out = first.join(picks, F.col("source").eqNullSafe(F.col("at")) & (F.col("nth") == F.col("at_nth")), "left")
     copies = (F.col("copies") + F.coalesce("turn", F.lit(0))).cast("int")
-    return out.select("doc_id", first.source, *keep, "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("doc_id", "source", *keep, "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

@@ -12,26 +12,16 @@ their own; with fewer rows than shards, the first shards get one each; an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_broadcast, ranked, written
+from tidelog.llm.common import chunks, ranked, spread_join, written
 
-CHUNK = 100_000
+CHUNK = 2000
 GROUP = ["h", "text_crc32", "size"]
 
 
-def running(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: str, name: str) -> DataFrame:
-    """df with the sum of value over the rows before each, within keys; in two levels, as ranked()."""
-    d = df.withColumn("_chunk", chunk)
-    sizes = d.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return d.join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_chunk", "_start")
-
-
 def propagate(cells: DataFrame, room: DataFrame, parts: int, rounds: int) -> DataFrame:
     """cells (GROUP, shard, n) after the rounds; room: (shard, quota)."""
     cells = written(cells)
@@ -53,7 +43,7 @@ def propagate(cells: DataFrame, room: DataFrame, parts: int, rounds: int) -> Dat
         taken = F.coalesce(F.sum(extra).over(W.partitionBy("to").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         quota = F.col("swap") + F.greatest(F.lit(0), F.least(extra, F.col("free") - taken))
         pairs = F.broadcast(pairs.withColumn("swap", swap).select("shard", "to", quota.alias("quota")))
-        line = running(asks, ["shard", "to"], F.pmod("h", F.lit(parts)), [F.col(c) for c in GROUP], "n", "ahead").join(pairs, ["shard", "to"])
+        line = ranked(asks, ["shard", "to"], [F.col(c) for c in GROUP], F.pmod("h", F.lit(parts)), "ahead", "n").join(pairs, ["shard", "to"])
         move = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("ahead"))).cast("long")
         moved = line.select(*GROUP, "shard", "to", move.alias("n")).filter("n > 0")
         moved = written(moved)
@@ -70,19 +60,19 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     d = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     d = written(d)
     rows = d.count()
-    parts = max(1, -(-rows // chunk))
+    parts = chunks(rows, chunk)
     linked = written(d.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    mine = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(parts))
+    mine = F.pmod(F.xxhash64(F.lit(3), "doc_id", "h"), F.lit(parts))
     by_id = [F.xxhash64("doc_id"), F.col("doc_id"), *[F.col(c) for c in GROUP]]
-    many = written(ranked(d.join(linked.drop("n"), GROUP, "left_semi"), [], by_id, mine, "seat"))
+    many = written(ranked(spread_join(d, linked, GROUP, "n", rows), [], by_id, mine, "seat"))
     many = many.withColumn("shard", (F.col("seat") % shards).cast("int"))
     room = written(spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(rows // shards) + (F.col("id") < rows % shards).cast("long")).alias("quota")))
     cells = propagate(many.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), room, parts, rounds)
 
     # the members of a group take its cells' places in the order of their rank in the group
     ends = F.sum("n").over(W.partitionBy(*GROUP).orderBy("shard"))
-    places = cells.withColumn("end", ends).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("places"))
-    seated = ranked(many.select("doc_id", *GROUP), GROUP, by_id, mine, "seat").join(places, GROUP)
+    places = cells.withColumn("end", ends).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("places"), F.sum("n").alias("n"))
+    seated = spread_join(ranked(many.select("doc_id", *GROUP), GROUP, by_id, mine, "seat"), places, GROUP, "n", rows)
     first = lambda places: F.filter(places, lambda p: F.col("seat") < p["end"])[0]["shard"]
     seated = seated.select("doc_id", *GROUP, first("places").alias("shard"))
 
@@ -92,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     for s, n in left.orderBy("shard").collect():  # one row a shard
         end += n
         ends.append(F.struct(F.lit(end).cast("long").alias("end"), F.lit(s).cast("int").alias("shard")))
-    lone = ranked(d.join(linked.drop("n"), GROUP, "left_anti"), [], by_id, mine, "seat")
+    lone = ranked(spread_join(d, linked, GROUP, "n", rows, without=True), [], by_id, mine, "seat")
     lone = lone.select("doc_id", *GROUP, first(F.array(*ends)).alias("shard"))
 
     placed = ranked(written(seated.union(lone)), ["shard"], by_id, mine, "slot")
