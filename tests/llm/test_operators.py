@@ -339,6 +339,54 @@ def test_mixing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    """The conditions of the optimum, which is unique: token constraints, one tilt for all sources, the shared moment."""
+    rng = np.random.default_rng(9)
+    sources = ["a"] * 700 + ["b"] * 200 + [None] * 100 + ["z"] * 3
+    texts = [" ".join(["w"] * int(n)) for n in [*rng.geometric(0.01, 700), *rng.geometric(0.05, 200), *rng.geometric(0.002, 100)]] + [None, "", " "]
+    rows = [r for r in mixing.mix(documents(spark, texts, sources=sources)).collect() if r["size"]]
+    size, rate = np.array([r["size"] for r in rows], float), np.array([r.rate for r in rows])
+    x = np.log2(size)
+    mean = (size * x).sum() / size.sum()
+    x = (x - mean) / np.sqrt((size * (x - mean) ** 2).sum() / size.sum())
+    src, slopes = np.array([str(r.source) for r in rows]), []
+    for s in set(src):
+        at = src == s
+        target = next(r.target for r in rows if str(r.source) == s)
+        assert abs((size[at] * rate[at]).sum() - target) <= 1e-6 * target
+        low = at & (rate < 2)
+        if len(set(size[low])) > 1:
+            slope, l = np.polyfit(x[low], np.log(rate[low]), 1)
+            assert np.allclose(np.log(rate[low]), slope * x[low] + l, atol=1e-6) and (slope * x[at & ~low] + l >= np.log(2) - 1e-6).all()
+            slopes.append(slope)
+    assert len(slopes) >= 2 and np.ptp(slopes) < 1e-6 and abs(slopes[0]) > 1e-3
+    assert abs(-(size * rate * x).sum() - mixing.RIDGE * size.sum() * slopes[0]) <= 1e-5 * size.sum()
+
+
+def test_mixing_edges(spark):
+    assert [(r.taken, r.target) for r in mixing.mix(documents(spark, [None, "", " "], sources=["a", None, "a"])).collect()] == [(0, 0.0)] * 3
+    same = mixing.mix(documents(spark, ["a b c"] * 50, sources=["x"] * 50, ids=[None] * 50)).collect()
+    assert sum(r.taken for r in same) == 225
+    long = mixing.mix(documents(spark, ["w " * 300_000, "v"], sources=["x", "y"])).collect()
+    assert sorted(r["size"] for r in long) == [1, 300_000] and all(r.taken <= 2 * r["size"] for r in long)
+
+
+def test_sharding_edges(spark):
+    texts = ["same"] * 500 + ["x" * 2_000_000, None]
+    out = sharding.shard(documents(spark, texts, ids=[None] * 400 + list(range(102)))).collect()
+    counts = Counter(r.shard for r in out)
+    assert len(out) == 502 and max(counts.values()) - min(counts.values()) <= 1 and all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in counts.items())
+
+
+@pytest.mark.parametrize("least", [0, 10**9])
+def test_spread_join_deals_hot_keys(spark, least, monkeypatch):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i % 40}", i) for i in range(400)] + [("none", 1)], "k string, v int")
+    named = rows.filter("k <> 'none'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    got = common.spread_join(rows, named, ["k"], "n", max(least, 3401))
+    assert sorted(map(tuple, got.select("k", "v", "top").collect())) == sorted(map(tuple, rows.join(named, "k").select("k", "v", "top").collect()))
+    assert [r.k for r in common.spread_join(rows, named, ["k"], "n", max(least, 3401), without=True).collect()] == ["none"]
+
+
 def test_sharding(spark):
     texts = [prose(k, 5) for k in range(150)] + [prose(k % 40, 5) for k in range(200)] + ["hot"] * 300 + [None, "", None]
     out = sharding.shard(documents(spark, texts), shards=24, chunk=37).collect()

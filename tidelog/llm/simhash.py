@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, block: int
 
 
 # Similarity of 0.8 needs more bits than 64: shingles sharing 0.8 differ in about 0.15 of the bits, unlike texts in half.
-LANES, TABLES, MINIMA, WITHIN, SIMILAR_BLOCK = 4, 10, 3, 47, 16_384
+LANES, TABLES, MINIMA, WITHIN, SIMILAR_BLOCK = 8, 10, 3, 94, 16_384
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
