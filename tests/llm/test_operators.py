@@ -66,6 +66,19 @@ def test_simhash(spark, block):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_simhash_of_null_ids(spark):
+    texts, ids = [prose(1, 40), prose(1, 40), prose(2, 40), prose(2, 40), None, ""], [None, 9, None, None, None, 4]
+    rows = simhash.near_duplicates(documents(spark, texts, ids=ids)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter([(None, 9), (9, 9), (None, None), (None, None), (None, 4), (4, 4)])
+
+
+def test_embeddings_of_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.5, 0.0], [0.0, 0.1, 1.0]
+    rows = [(None, v, 1), (3, v, 1), (3, v, 1), (3, w, 1), (8, w, 1)]
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == Counter({(None, 0, None, False): 1, (3, 1, 3, True): 3, (8, 1, 3, False): 1})
+
+
 def test_bk_tree_finds_all_links():
     rng = np.random.default_rng(4)
     centre = int(rng.integers(0, 2**63))
@@ -416,6 +429,14 @@ def test_decontamination(spark):
     assert decontaminate.leaks(documents(spark, texts), bench.limit(0)).count() == 0 and decontaminate.leaks(documents(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_ties_and_repeats(spark):
+    item = prose(401, 25, 3000) + ". " + prose(402, 8, 3000) + "."
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    texts = [f"{prose(50, 60, 3000)} {item}", f"{prose(50, 60, 3000)} {item}", f"{item} {prose(51, 90, 3000)} {item}", f"{prose(52, 300_000, 3000)} {item}"]
+    out = decontaminate.leaks(documents(spark, texts, ids=[7, 7, None, 8]), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in out) == Counter((d, i) for d in (7, None, 8) for i in (1, 2)) and all(r.lcs == 1.0 for r in out)
+
+
 def test_lcs_against_table():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -2,7 +2,8 @@
 
 Features are counts and ratios of bytes, words, lines and repeats of the whole text. Trees are grown level by level on
 quantile bins of at most `bins` values; the grown forest is flattened into arrays, which numpy walks for a whole batch at
-once. The forest is fitted on `sample_rows` labelled rows at most, chosen by a hash of doc_id.
+once. The forest is fitted on `sample_rows` labelled rows at most, chosen by a hash of doc_id; documents
+that share a doc_id are one of them.
 
 Nulls and edge cases: a null text counts as empty and gets a score like any other; null labels and labels without a
 document teach nothing; with no labels or only one kind, every score is that kind's share (0.5 without any). Repeated
@@ -147,7 +148,10 @@ def sample(docs: DataFrame, labels: DataFrame, taught: Column, sample_rows: int)
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
 
-    got = rows.select(F.xxhash64("doc_id").alias("k"), "doc_id", F.col("quality").cast("double").alias("y"), stats("text").alias("x")).toPandas().sort_values(["k", "doc_id"], kind="stable")
+    told = rows.select("doc_id", F.xxhash64("text").alias("h"), F.col("quality").cast("double").alias("y"), stats("text").alias("x"))
+    # rows that share a doc_id teach once: one text of them, so that no more than sample_rows come here
+    one = told.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("x", "h").alias("x"))
+    got = one.withColumn("k", F.xxhash64("doc_id")).toPandas().sort_values(["k", "doc_id"], kind="stable")
     if not len(got):
         return np.empty((0, len(NAMES))), np.empty(0)
     return np.stack(got["x"]), (got["y"].to_numpy() > 0).astype(float)
