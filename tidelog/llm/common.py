@@ -183,20 +183,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str = "rank", weigh: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str = "rank", weigh: dict[str, str] | None = None) -> DataFrame:
     """df with a gapless 0-based rank within keys, in the order of (chunk, order); no task holds more than a chunk of a key.
 
     chunk is an integer column that says which part of the key a row is in. Sizes of the parts are summed first; a
-    running sum over parts (few rows) and one over the rows of each part give the rank. weigh: a column of integers that
-    is summed over the rows before each instead.
+    running sum over parts (few rows) and one over the rows of each part give the rank. weigh: further columns by name, each
+    the sum of a column of integers over the rows before.
     """
-    one = F.lit(1) if weigh is None else F.col(weigh)
+    sums = {name: F.lit(1), **{n: F.col(c) for n, c in (weigh or {}).items()}}
     d = df.withColumn("_chunk", chunk)
-    sizes = d.groupBy(*keys, "_chunk").agg(F.sum(one).alias("_n"))
+    sizes = d.groupBy(*keys, "_chunk").agg(*[F.sum(x).alias(f"_n_{n}") for n, x in sums.items()])
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     names = [*keys, "_chunk"]
-    starts = sizes.select(*[F.col(k).alias(f"_at_{k}") for k in names], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = sizes.select(*[F.col(k).alias(f"_at_{k}") for k in names], *[F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums])
     cond = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in names]
     both = d.join(starts, cond).drop(*[f"_at_{k}" for k in names])
     inner = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return both.withColumn(name, (F.col("_start") + F.coalesce(F.sum(one).over(inner), F.lit(0))).cast("long")).drop("_chunk", "_start")
+    out = both.withColumns({n: (F.col(f"_start_{n}") + F.coalesce(F.sum(x).over(inner), F.lit(0))).cast("long") for n, x in sums.items()})
+    return out.drop("_chunk", *[f"_start_{n}" for n in sums])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, bounded_broadcast, chunks, ranked, written
+from tidelog.llm.common import BROADCAST_ROWS, WORD, bounded_broadcast, chunks, discard, ranked, written
 
 NEWTON_STEPS, RIDGE, CHUNK, UNIT = 60, 0.05, 2000, 1_000_000
 
@@ -62,29 +62,37 @@ def rates(cells: DataFrame, sources: DataFrame, cap: float, ridge: float = RIDGE
     # a source at its cap has every document there, one of no words or target has none
     kind = F.when((F.col("source_size") <= 0) | (F.col("target") <= 0), "none").when(F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), "full").otherwise("free")
     start = F.when(kind == "free", F.log(F.col("target") / F.col("source_size"))).otherwise(F.when(kind == "full", F.lit(1e3)).otherwise(F.lit(-1e3)))
-    state, m = written(sources.select("source", "source_size", "target", kind.alias("kind"), start.alias("l"))), 0.0
+    hint = F.broadcast if sources.count() <= BROADCAST_ROWS else lambda x: x
+    first = written(sources.select("source", "source_size", "target", kind.alias("kind"), start.alias("l"), F.lit(0.0).alias("m")))
+    state, ridged, last = first, F.lit(ridge * w), None
     c = cells.filter("size > 0").select(F.col("source").alias("at"), words.alias("w"), ((log - mean) / sd).alias("x"))
+    tilt = F.exp(F.col("l") + F.col("m") * F.col("x"))
+    r = F.col("w") * F.least(tilt, F.lit(float(cap)))
+    inner = F.when(tilt < cap, r).otherwise(0.0)
+    free = (F.col("kind") == "free") & (F.col("a") > 0)
+    of = lambda x: F.coalesce(F.sum(F.when(free, x)), F.lit(0.0))
+    # m and the step stay in the tables: numbers in the plan would be compiled anew in each round
     for _ in range(steps):
-        both = c.join(bounded_broadcast(state), F.col("at").eqNullSafe(F.col("source")))
-        tilt = F.exp(F.col("l") + m * F.col("x"))
-        r = F.col("w") * F.least(tilt, F.lit(float(cap)))
-        inner = F.when(tilt < cap, r).otherwise(0.0)
-        sums = both.groupBy("source", "source_size", "target", "kind", "l").agg(F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("g"), F.sum(inner).alias("a"), F.sum(inner * F.col("x")).alias("b"), F.sum(inner * F.col("x") ** 2).alias("c"))
-        sums = written(sums.withColumn("f", F.when(F.col("kind") == "free", F.col("target") - F.col("r")).otherwise(0.0)))
-        free = (F.col("kind") == "free") & (F.col("a") > 0)
-        of = lambda x: F.coalesce(F.sum(F.when(free, x)), F.lit(0.0))
-        got = sums.agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("g"), of(F.col("c")).alias("c"), of(F.col("b") * F.col("f") / F.col("a")).alias("bf"), of(F.col("b") ** 2 / F.col("a")).alias("bb"), F.coalesce(F.max(F.abs("f") / F.col("target")), F.lit(0.0)).alias("miss")).first()
-        gradient = -got.g - ridge * w * m
-        if got.miss <= 1e-9 and abs(gradient) <= 1e-7 * max(1.0, w):
+        both = c.join(hint(state), F.col("at").eqNullSafe(F.col("source")))
+        sums = both.groupBy("source", "source_size", "target", "kind", "l", "m").agg(F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("g"), F.sum(inner).alias("a"), F.sum(inner * F.col("x")).alias("b"), F.sum(inner * F.col("x") ** 2).alias("c"))
+        sums = written(sums.withColumn("f", F.when(F.col("kind") == "free", F.col("target") - F.col("r")).otherwise(0.0)).coalesce(8))
+        got = sums.agg((-F.sum("g") - ridged * F.max("m")).alias("gradient"), of(F.col("c")).alias("cc"), of(F.col("b") * F.col("f") / F.col("a")).alias("bf"), of(F.col("b") ** 2 / F.col("a")).alias("bb"), F.max(F.abs("f") / F.col("target")).alias("miss"), F.max("m").alias("at_m"))
+        now = got.first()
+        if last is not None:
+            discard(last)
+        last = sums
+        if now.at_m is None or (now.miss <= 1e-9 and abs(now.gradient) <= 1e-7 * max(1.0, w)):
             break
-        step = max(-1.0, min(1.0, (gradient - got.bf) / (ridge * w + max(0.0, got.c - got.bb))))
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("gradient") - F.col("bf")) / (ridged + F.greatest(F.lit(0.0), F.col("cc") - F.col("bb")))))
         # without a document below the cap a source has no curvature: it goes down, or up, by the longest step
-        move = F.when(F.col("kind") != "free", 0.0).when(F.col("a") > 0, (F.col("f") - F.col("b") * step) / F.col("a")).otherwise(F.signum("f"))
-        rest = state.join(bounded_broadcast(sums.select(F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s")), "left_anti")
-        state, m = written(sums.select("source", "source_size", "target", "kind", (F.col("l") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias("l")).unionByName(rest)), m + step
+        move = F.when(F.col("kind") != "free", 0.0).when(F.col("a") > 0, (F.col("f") - F.col("b") * F.col("step")) / F.col("a")).otherwise(F.signum("f"))
+        one = F.broadcast(got.select(step.alias("step")))  # one row
+        state = sums.crossJoin(one).select("source", "source_size", "target", "kind", (F.col("l") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).alias("l"), (F.col("m") + F.col("step")).alias("m"))
     else:
         raise RuntimeError(f"the dual did not settle in {steps} steps")
-    return state, m, (mean, sd)
+    done = last.select("source", "source_size", "target", "kind", "l")
+    wordless = first.filter("source_size <= 0 or source_size is null").drop("m")
+    return done.unionByName(wordless), float(now.at_m or 0.0), (mean, sd)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, keep: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
@@ -101,10 +109,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     r = r.withColumn("_units", F.round(F.col("rate") * UNIT).cast("long"))
     grade = F.floor(4 * F.log2(F.greatest("size", F.lit(1)).cast("double"))).cast("long")
     order = [F.col("size"), F.col("_order"), F.col("doc_id")]
-    r = ranked(r, ["source"], order, grade * parts + F.pmod(F.col("_order"), F.lit(parts)), "_ahead", "_units")
+    r = ranked(r, ["source"], order, grade * parts + F.pmod(F.col("_order"), F.lit(parts)), "nth", {"_ahead": "_units"})
     half = UNIT // 2
     whole = lambda x: F.floor((x + half) / F.lit(UNIT))
-    r = ranked(r.withColumn("copies", (whole(F.col("_ahead") + F.col("_units")) - whole(F.col("_ahead"))).cast("int")), ["source"], order, grade * parts + F.pmod(F.col("_order"), F.lit(parts)), "nth")
+    r = r.withColumn("copies", (whole(F.col("_ahead") + F.col("_units")) - whole(F.col("_ahead"))).cast("int"))
     first = written(r.drop("_units", "_ahead", "_order"))
 
     # what a source misses or has too much is made up by one document of each grade of sizes and direction at most

@@ -43,7 +43,7 @@ def propagate(cells: DataFrame, room: DataFrame, parts: int, rounds: int) -> Dat
         taken = F.coalesce(F.sum(extra).over(W.partitionBy("to").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         quota = F.col("swap") + F.greatest(F.lit(0), F.least(extra, F.col("free") - taken))
         pairs = F.broadcast(pairs.withColumn("swap", swap).select("shard", "to", quota.alias("quota")))
-        line = ranked(asks, ["shard", "to"], [F.col(c) for c in GROUP], F.pmod("h", F.lit(parts)), "ahead", "n").join(pairs, ["shard", "to"])
+        line = ranked(asks, ["shard", "to"], [F.col(c) for c in GROUP], F.pmod("h", F.lit(parts)), "place", {"ahead": "n"}).join(pairs, ["shard", "to"])
         move = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("ahead"))).cast("long")
         moved = line.select(*GROUP, "shard", "to", move.alias("n")).filter("n > 0")
         moved = written(moved)
