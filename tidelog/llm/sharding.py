@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, ranked, spread_join, written
+from tidelog.llm.common import chunks, ranked, written
 
 CHUNK = 2000
 GROUP = ["h", "text_crc32", "size"]
@@ -64,15 +64,15 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     linked = written(d.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     mine = F.pmod(F.xxhash64(F.lit(3), "doc_id", "h"), F.lit(parts))
     by_id = [F.xxhash64("doc_id"), F.col("doc_id"), *[F.col(c) for c in GROUP]]
-    many = written(ranked(spread_join(d, linked, GROUP, "n", rows), [], by_id, mine, "seat"))
+    many = written(ranked(d.join(linked, GROUP, "left_semi"), [], by_id, mine, "seat"))
     many = many.withColumn("shard", (F.col("seat") % shards).cast("int"))
     room = written(spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(rows // shards) + (F.col("id") < rows % shards).cast("long")).alias("quota")))
     cells = propagate(many.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), room, parts, rounds)
 
     # the members of a group take its cells' places in the order of their rank in the group
     ends = F.sum("n").over(W.partitionBy(*GROUP).orderBy("shard"))
-    places = cells.withColumn("end", ends).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("places"), F.sum("n").alias("n"))
-    seated = spread_join(ranked(many.select("doc_id", *GROUP), GROUP, by_id, mine, "seat"), places, GROUP, "n", rows)
+    places = cells.withColumn("end", ends).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("places"))
+    seated = ranked(many.select("doc_id", *GROUP), GROUP, by_id, mine, "seat").join(places, GROUP)
     first = lambda places: F.filter(places, lambda p: F.col("seat") < p["end"])[0]["shard"]
     seated = seated.select("doc_id", *GROUP, first("places").alias("shard"))
 
@@ -82,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     for s, n in left.orderBy("shard").collect():  # one row a shard
         end += n
         ends.append(F.struct(F.lit(end).cast("long").alias("end"), F.lit(s).cast("int").alias("shard")))
-    lone = ranked(spread_join(d, linked, GROUP, "n", rows, without=True), [], by_id, mine, "seat")
+    lone = ranked(d.join(linked, GROUP, "left_anti"), [], by_id, mine, "seat")
     lone = lone.select("doc_id", *GROUP, first(F.array(*ends)).alias("shard"))
 
     placed = ranked(written(seated.union(lone)), ["shard"], by_id, mine, "slot")
