@@ -12,51 +12,70 @@ their own; with fewer rows than shards, the first shards get one each; an empty
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, ranked, written
+from tidelog.llm.common import chunks, discard, ranked, written
 
 CHUNK = 2000
 GROUP = ["h", "text_crc32", "size"]
 
 
-def propagate(cells: DataFrame, room: DataFrame, parts: int, rounds: int) -> DataFrame:
-    """cells (GROUP, shard, n) after the rounds; room: (shard, quota)."""
-    cells = written(cells)
+def quotas(want: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How much may move from shard to shard: what both want of each other is exchanged, and free room takes more."""
+    taken, out = [0] * len(free), {}
+    for (at, to), n in sorted(want.items()):
+        swap = min(n, want.get((to, at), 0))
+        if quota := swap + max(0, min(n - swap, free[to] - taken[to])):
+            out[at, to] = quota
+        taken[to] += n - swap
+    return out
+
+
+def propagate(cells: DataFrame, room: list[int], parts: int, rounds: int) -> tuple[DataFrame, list[int]]:
+    """cells (GROUP, shard, n) after the rounds, and what room of each shard they leave.
+
+    The driver sees one number a shard and one a pair of shards in a round, however many cells there are.
+    """
+    spark, cells = cells.sparkSession, written(cells)
+    free = list(room)
+    for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
+        free[r.shard] -= r.n
     for k in range(rounds):
-        load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-        free = F.broadcast(room.join(load, "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free")))
-        votes = cells.join(free, "shard")
         here = F.struct("n", F.xxhash64("h", "shard").alias("tie"), "shard")
         # in every second round only shards with free room are voted for, so that a large group goes on where room is
-        may = F.when(F.lit(k % 2 == 0) | (F.col("free") > 0), here)
+        may = F.when(F.get(F.array(*map(F.lit, free)), "shard") > 0, here) if k % 2 else here
         best = F.max(may).over(W.partitionBy(*GROUP))
-        asks = votes.withColumn("best", best).filter(F.col("best").isNotNull() & (F.col("best") > here))
-        asks = asks.select(*GROUP, "shard", F.col("best.shard").alias("to"), "n")
-        demand = asks.groupBy("shard", "to").agg(F.sum("n").alias("want"))
-        back = demand.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("want").alias("back"))
-        pairs = demand.join(back, ["shard", "to"], "left").join(free.withColumnRenamed("shard", "to"), "to")
-        swap = F.least("want", F.coalesce("back", F.lit(0)))
-        extra = F.col("want") - F.col("swap")
-        taken = F.coalesce(F.sum(extra).over(W.partitionBy("to").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        quota = F.col("swap") + F.greatest(F.lit(0), F.least(extra, F.col("free") - taken))
-        pairs = F.broadcast(pairs.withColumn("swap", swap).select("shard", "to", quota.alias("quota")))
+        asks = cells.withColumn("best", best).filter(F.col("best").isNotNull() & (F.col("best") > here))
+        asks = written(asks.select(*GROUP, "shard", F.col("best.shard").alias("to"), "n"))
+        want = {(r.shard, r.to): r.want for r in asks.groupBy("shard", "to").agg(F.sum("n").alias("want")).collect()}  # one row a pair of shards
+        moves = quotas(want, free)
+        if not moves:
+            discard(asks)
+            break
+        for (at, to), n in moves.items():
+            free[at] += n
+            free[to] -= n
+        columns = zip(*[(at, to, n) for (at, to), n in moves.items()])
+        pairs = pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], ["shard", "to", "quota"])
+        pairs = F.broadcast(spark.createDataFrame(pairs))
         line = ranked(asks, ["shard", "to"], [F.col(c) for c in GROUP], F.pmod("h", F.lit(parts)), "place", {"ahead": "n"}).join(pairs, ["shard", "to"])
         move = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("ahead"))).cast("long")
-        moved = line.select(*GROUP, "shard", "to", move.alias("n")).filter("n > 0")
-        moved = written(moved)
-        if not moved.limit(1).count():
-            break
-        change = moved.select(*GROUP, "shard", (-F.col("n")).alias("n")).union(moved.select(*GROUP, "to", "n"))
-        cells = written(cells.union(change).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")).filter("n > 0"))
-    return cells
+        both = F.array(F.struct("shard", (-F.col("n")).alias("n")), F.struct(F.col("to").alias("shard"), "n"))
+        moved = line.select(*GROUP, "shard", "to", move.alias("n")).filter("n > 0").select(*GROUP, F.explode(both).alias("m")).select(*GROUP, "m.shard", "m.n")
+        new = written(cells.union(moved).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")).filter("n > 0"))
+        discard(cells, asks)
+        cells = new
+    return cells, free
 
 
 def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of docs."""
-    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     d = written(d)
     rows = d.count()
@@ -66,8 +85,8 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     by_id = [F.xxhash64("doc_id"), F.col("doc_id"), *[F.col(c) for c in GROUP]]
     many = written(ranked(d.join(linked, GROUP, "left_semi"), [], by_id, mine, "seat"))
     many = many.withColumn("shard", (F.col("seat") % shards).cast("int"))
-    room = written(spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(rows // shards) + (F.col("id") < rows % shards).cast("long")).alias("quota")))
-    cells = propagate(many.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), room, parts, rounds)
+    room = [rows // shards + (s < rows % shards) for s in range(shards)]
+    cells, left = propagate(many.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n")), room, parts, rounds)
 
     # the members of a group take its cells' places in the order of their rank in the group
     ends = F.sum("n").over(W.partitionBy(*GROUP).orderBy("shard"))
@@ -76,12 +95,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 6, chunk: int = CHUNK
     first = lambda places: F.filter(places, lambda p: F.col("seat") < p["end"])[0]["shard"]
     seated = seated.select("doc_id", *GROUP, first("places").alias("shard"))
 
-    load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-    left = room.join(load, "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("left"))
-    ends, end = [], 0
-    for s, n in left.orderBy("shard").collect():  # one row a shard
-        end += n
-        ends.append(F.struct(F.lit(end).cast("long").alias("end"), F.lit(s).cast("int").alias("shard")))
+    ends = [F.struct(F.lit(end).cast("long").alias("end"), F.lit(s).alias("shard")) for s, end in enumerate(accumulate(left))]
     lone = ranked(d.join(linked, GROUP, "left_anti"), [], by_id, mine, "seat")
     lone = lone.select("doc_id", *GROUP, first(F.array(*ends)).alias("shard"))
 
