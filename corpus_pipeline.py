@@ -6,6 +6,8 @@ works on all that the one before kept, and all but the last return the columns o
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,16 @@ from tidelog.llm.common import bounded_broadcast, discard, written
 LEAST_LANGUAGE = 0.3
 
 
+def released(spark: SparkSession) -> None:
+    """Frees what stages before have left in the driver: Spark cleans up shuffles, broadcasts and plans only once both
+    sides of the driver have collected them, which may not happen for long while there is room in its heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words have a language. Null and empty texts and those without letters go; a null doc_id stays."""
+    released(spark)
     told = language.learn_and_identify(docs, F.lit(True), names=("_lang_pred", "_lang_score"))
     return told.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
@@ -27,6 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts of no words are a group; rows that repeat a doc_id and its text leave one. An empty table stays empty.
     """
+    released(spark)
     comp = written(simhash.similar_documents(docs))
     stay = comp.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("one")).select(F.col("one.doc_id").alias("_at"), F.col("one.h").alias("_at_h"))
     h = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -41,6 +52,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts hold none; rows that repeat a leaking one go with it; with an empty benchmark all stay.
     """
+    released(spark)
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     own = docs.select("doc_id", "text", h.alias("_h"))
     found = decontaminate.leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_h",))
@@ -55,6 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by all their columns. Rows that are equal in all are one row that is written as often as they are
     taken together, so that the stage's words are the mix's. Null texts have no words; an empty table stays empty.
     """
+    released(spark)
     row = F.xxhash64(F.lit(23), *[F.col(c) for c in docs.columns])
     taken = mixing.mix(docs.withColumn("_row", row).withColumn("_row2", F.xxhash64(F.lit(24), *[F.col(c) for c in docs.columns])), keep=("_row", "_row2")).filter("copies > 0")
     taken = written(taken.groupBy("_row", "_row2").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
@@ -66,6 +79,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and place of every document; what is null or empty or repeats has a place like any other."""
+    released(spark)
     return sharding.shard(docs)
 
 
