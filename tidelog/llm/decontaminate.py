@@ -8,11 +8,12 @@ vocabulary's mean word, so that cosines do not fall as the corpus grows. What re
 is looked at. Candidates are verified on the words around the passage: a longest common subsequence of at least `lcs` of
 the item's words, and of `answer` of its last sentence.
 
-The SVD is fitted on the items and on passages of about `sample_docs` documents that a hash chooses among all, at most
-`SAMPLE_PASSAGES` in a row from each, from a place that a hash chooses; the search covers all passages of all documents.
-Its rank is `rank`, or a block's items if they are more. The benchmark is the query set: it is read in blocks of `items`
-rows, `AT_ONCE` blocks in one pass over the documents, so what tasks and the driver hold has a fixed bound, but for the
-benchmark's vocabulary. Two more passes count frequencies and sample, however many items there are.
+The SVD is fitted on the items and on all passages of all documents: one pass sums the products of the weights of each
+two terms over all passages, and the iterations multiply by that matrix, whose size depends on the benchmark alone. Its
+rank is `rank`, or a block's items if they are more. The benchmark is the query set: it is read in blocks of `items`
+rows, `AT_ONCE` blocks in one search, so what tasks and the driver hold has a fixed bound, but for the benchmark's
+vocabulary. Texts are read once, as numbers of terms; those are read once to count frequencies, once a block to fit (more
+often if the sums of a block exceed `CELLS`) and once a search.
 
 Nulls and edge cases: null and empty texts, and items of no words, match nothing; repeated items are reported each;
 documents of one doc_id are reported once; a null doc_id is reported as null; empty tables give an empty result; equal
@@ -21,8 +22,6 @@ cosines are all candidates; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import discard, written
 
 STRIDE, BLOCKS, RANK, SPARE, POWER, COSINE, LCS, ANSWER = 16, 3, 192, 12, 2, 0.20, 0.7, 0.5
-SAMPLE_DOCS, SAMPLE_PASSAGES, ITEMS, AT_ONCE, FACTOR, SLAB, WORDS_AT_ONCE = 2000, 64, 256, 4, 4.0, 512, 1 << 16
+ITEMS, AT_ONCE, FACTOR, SLAB, WORDS_AT_ONCE, ROWS_AT_ONCE, PASSAGES_AT_ONCE, CELLS, UNIT = 256, 4, 4.0, 512, 1 << 16, 100, 1 << 12, 1 << 24, 1 << 30
 WINDOW = STRIDE * BLOCKS
 # White space and ASCII punctuation part words; bytes beyond ASCII stay.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -82,7 +81,12 @@ class Index:
         self.masks = [masks_of(w) for w in self.words]
         self.answer_masks = [masks_of(w) for w in self.answers]
         self.idf = np.ones(len(self.terms) + 1)  # the last is that of any word outside the vocabulary
-        self.space = self.latent = None
+        self.space = self.latent = self.lookup = None
+
+    def number(self, vocabulary: dict[bytes, int]) -> None:
+        """lookup: the term of each word of the whole benchmark's vocabulary; the last is that of any other word."""
+        self.lookup = np.full(len(vocabulary) + 1, len(self.terms), np.int32)
+        self.lookup[[vocabulary[w] for w in self.terms]] = np.arange(len(self.terms))
 
     def weigh(self, docs: int, frequency: dict[bytes, int]) -> None:
         df = np.array([frequency.get(w, 0) for w in self.terms] + [0])
@@ -102,29 +106,21 @@ class Index:
         return k[inside], x[inside]
 
     def fit(self, space: np.ndarray) -> None:
-        self.space = (space * self.idf[:-1, None]).astype(np.float32)
+        # the last row is that of any word outside the vocabulary, and of none
+        self.space = np.append(space * self.idf[:-1, None], np.zeros((1, space.shape[1])), axis=0).astype(np.float32)
         self.latent = np.stack([x @ space[k] for k, x in map(self.row, map(np.array, self.words))]).astype(np.float32)
 
     def candidates(self, docs: list[np.ndarray], cosine: float) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word, item, cosine) of each passage and item that near each other; docs: terms, none empty."""
-        blocks = np.array([max(BLOCKS, -(-len(d) // STRIDE)) for d in docs])
-        first = np.r_[0, np.cumsum(blocks)]
-        flat = np.full((int(first[-1]) + BLOCKS) * STRIDE, -1, np.int32)  # documents begin at blocks; -1 is no word
-        for d, at in zip(docs, first):
-            flat[at * STRIDE : at * STRIDE + len(d)] = d
+        flat, first, whole = laid(docs)  # -1 has no weight
         weight = np.append(self.idf**2, 0.0)[flat].reshape(-1, STRIDE).sum(1)
-        inside = np.flatnonzero((flat >= 0) & (flat < len(self.terms)))
-        block_of = inside // STRIDE
-        doc_of = np.repeat(np.arange(len(docs)), blocks)
-        whole = first[doc_of + 1] - np.arange(int(first[-1])) >= BLOCKS  # windows that begin here end in their document
+        doc_of = np.repeat(np.arange(len(docs)), np.diff(first))
         for lo in range(0, int(first[-1]), SLAB):
             hi = min(lo + SLAB, int(first[-1]))
-            a, b = np.searchsorted(block_of, (lo, hi + BLOCKS - 1))
-            sums = np.zeros((hi + BLOCKS - 1 - lo, self.space.shape[1]), np.float32)
-            if b > a:
-                here = block_of[a:b] - lo
-                cuts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
-                sums[here[cuts]] = np.add.reduceat(self.space[flat[inside[a:b]]], cuts, axis=0)
+            words = flat[lo * STRIDE : (hi + BLOCKS - 1) * STRIDE].reshape(-1, STRIDE)
+            sums = self.space[words[:, 0]]
+            for k in range(1, STRIDE):
+                sums += self.space[words[:, k]]
             v, w = sums[: hi - lo].copy(), weight[lo:hi].copy()
             for k in range(1, BLOCKS):
                 v += sums[k : hi - lo + k]
@@ -153,82 +149,186 @@ class Index:
         return [(d, self.ids[i], *x) for (d, i), x in found.items()]
 
 
-def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of the benchmark is."""
+def termed(docs: DataFrame, vocabulary: dict[bytes, int], keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, columns of keep and terms of every document, written: the numbers of its words in the vocabulary, as int32."""
+    names = ["doc_id", *keep, "terms"]
     model = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: Counter[bytes] = Counter()
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, none = model.value.get, len(model.value)
         for batch in batches:
-            for t in batch.column(0):
-                of.update(model.value.intersection(words_of(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], ["word", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    out = {bytes(r.word): r.n for r in counts.collect()}  # one row a word of the benchmark
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                lists = (words_of(t.as_py()) for t in part.column("text"))
+                terms = [np.fromiter(map(get, w, repeat(none)), np.int32, len(w)).tobytes() for w in lists]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), pa.array(terms, pa.binary())], names)
+
+    schema = ", ".join(f"{n} {'binary' if n == 'terms' else 'long'}" for n in names)
+    out = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *keep).mapInArrow(number, schema))
     model.destroy()
     return out
 
 
-def sampled(docs: DataFrame, docs_n: int, sample_docs: int) -> DataFrame:
-    """text: runs of words of about sample_docs documents, each of at most SAMPLE_PASSAGES windows."""
-    # a hash picks each document with one probability: no sort, no task that gathers them
-    share = min(1.0, sample_docs / max(1, docs_n))
-    picked = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    most = STRIDE * (SAMPLE_PASSAGES + BLOCKS - 1)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(0):
-                words = words_of(t.as_py())
-                at = zlib.crc32(b" ".join(words)) % max(1, len(words) - most + 1)
-                out.append(b" ".join(words[at : at + most]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+def terms_at(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(column[k].as_buffer(), np.int32)
 
-    return written(picked.repartition(8).mapInArrow(cut, "words binary"))
 
+def frequencies(terms: DataFrame, words: list[bytes]) -> dict[bytes, int]:
+    """In how many documents each word of the benchmark is."""
+    size = len(words)
 
-def singular_space(sample: DataFrame, index: Index, rank: int) -> np.ndarray:
-    """Right singular vectors (term x rank) of the sampled passages and the items, by randomised subspace iteration."""
-    spark, n_terms = sample.sparkSession, len(index.terms)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n[np.unique(terms_at(batch.column(0), k))] += 1
+        there = np.flatnonzero(n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(n[there], pa.int64())], ["word", "n"])
+
+    counts = terms.select("terms").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {words[r.word]: r.n for r in counts.collect()}  # one row a word of the benchmark
+
+
+def laid(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, block at which each document begins, whether a window begins at each block): documents begin at blocks; -1 is no word."""
+    blocks = np.array([max(BLOCKS, -(-len(d) // STRIDE)) for d in docs])
+    first = np.r_[0, np.cumsum(blocks)]
+    flat = np.full((int(first[-1]) + BLOCKS) * STRIDE, -1, np.int32)
+    for d, at in zip(docs, first):
+        flat[at * STRIDE : at * STRIDE + len(d)] = d
+    ends = np.repeat(first[1:], blocks)
+    return flat, first, ends - np.arange(int(first[-1])) >= BLOCKS  # windows that begin here end in their document
+
+
+def passages_of(docs: list[np.ndarray], index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, term, weight) of the terms in the vocabulary of all passages, by passage and term: Index.row of many at once."""
+    flat, _, whole = laid(docs)
+    for lo in range(0, len(whole), PASSAGES_AT_ONCE):
+        at = lo + np.flatnonzero(whole[lo : lo + PASSAGES_AT_ONCE])
+        words = flat.reshape(-1, STRIDE)[at[:, None] + np.arange(BLOCKS)].reshape(-1, WINDOW)
+        words.sort(axis=1)
+        new = np.ones(words.shape, bool)
+        new[:, 1:] = words[:, 1:] != words[:, :-1]
+        starts = np.flatnonzero(new)
+        count, term, of = np.diff(np.r_[starts, words.size]), words.ravel()[starts], starts // WINDOW
+        x = np.where(term >= 0, count * index.idf[term], 0.0)
+        length = np.sqrt(np.bincount(of, x * x))
+        inside = np.flatnonzero((term >= 0) & (term < len(index.terms)))
+        yield of[inside], term[inside], x[inside] / length[of[inside]]
+
+
+def pairs_of(of: np.ndarray, term: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(term, term, product of their weights) of each two terms of a passage, each with itself too, the lesser term first."""
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size, term = np.diff(np.r_[starts, len(of)]), term.astype(np.int64)
+    order, cuts = np.argsort(size, kind="stable"), np.r_[0, np.cumsum(np.bincount(size))]
+    for k in np.unique(size).tolist():  # passages of equally many terms side by side
+        at = starts[order[cuts[k] : cuts[k + 1]]] + np.arange(k)[:, None]
+        a, b = np.triu_indices(k)
+        t, y = term[at], x[at]
+        yield t[a].ravel(), t[b].ravel(), (y[a] * y[b]).ravel()
+
+
+def products(terms: DataFrame, index: Index) -> DataFrame:
+    """The upper triangle of A^T A, A being the weights (passage x term) of all passages of all documents, written.
+
+    i and row: row i from column i on, as float64; row -1 has the number of passages with a term. Products are summed as
+    multiples of 1 / UNIT, so that the sums are the same in whatever order. A task holds CELLS sums at most: beyond,
+    the rows of the triangle come in stripes, a pass over the terms for each.
+    """
+    spark, n = terms.sparkSession, len(index.terms)
+    base = np.arange(n) * n - np.arange(n) * (np.arange(n) + 1) // 2  # cell of row i and column j: base[i] + j
+    starts = base + np.arange(n)
     model = spark.sparkContext.broadcast(index)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = model.value
+    def summed(lo: int, hi: int):
+        first, cells = int(starts[lo]), int(starts[hi - 1]) + n - hi + 1 - int(starts[lo])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix, sums, passages = model.value, np.zeros(cells, np.int64), 0
+            for batch in batches:
+                for docs, _ in together(batch):
+                    for of, term, x in passages_of([ix.lookup[d] for d in docs], ix):
+                        if not len(of):
+                            continue
+                        passages += 1 + int(np.count_nonzero(of[1:] != of[:-1]))
+                        for i, j, v in pairs_of(of, term, x):
+                            cell = base[i] + j
+                            if hi - lo < n:
+                                cell, v = cell[kept := (i >= lo) & (i < hi)], v[kept]
+                            np.add.at(sums, cell - first if first else cell, np.rint(v * UNIT).astype(np.int64))
+            for at in range(lo, hi, 64):
+                rows = range(at, min(at + 64, hi))
+                # bytes of one place lie together: most of the high ones are zero and cost nothing in the shuffle
+                out = [sums[starts[i] - first : starts[i] - first + n - i].view(np.uint8).reshape(-1, 8).T.tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(out, pa.binary())], ["i", "row"])
+            if lo == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([passages], np.int64).tobytes()], pa.binary())], ["i", "row"])
+
+        return run
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def row() -> pa.RecordBatch:
+            values = total / (1 if at == -1 else UNIT)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["i", "row"])
+
         for batch in batches:
-            ks, xs = [], []
-            for t in batch.column(0):
-                terms = ix.terms_of(t.as_py().split())
-                for s in range(0, max(1, len(terms) - WINDOW + STRIDE) if len(terms) else 0, STRIDE):
-                    k, x = ix.row(terms[s : s + WINDOW])
-                    if len(k):
-                        ks.append(k.tolist())
-                        xs.append(x.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], ["k", "x"])
-
-    passages = written(sample.mapInArrow(rows, "k array<int>, x array<double>"))
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = np.ascontiguousarray(np.frombuffer(cell.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+                if i == at:
+                    total += v
+                    continue
+                if at is not None:
+                    yield row()
+                at, total = i, v.copy()
+        if at is not None:
+            yield row()
+
+    tasks = terms.select("terms").coalesce(max(4, spark.sparkContext.defaultParallelism))  # each sends a triangle: not more of them for more input
+    parts, lo = [], 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS, "right")) - 1)
+        hi = n if int(starts[n - 1]) + 1 - int(starts[lo]) <= CELLS else hi
+        parts.append(tasks.mapInArrow(summed(lo, hi), "i int, row binary"))
+        lo = hi
+    out = written(reduce(DataFrame.union, parts).repartition("i").sortWithinPartitions("i").mapInArrow(added, "i int, row binary"))
+    model.destroy()
+    return out
+
+
+def singular_space(terms: DataFrame, index: Index, rank: int) -> np.ndarray:
+    """Right singular vectors (term x rank) of all passages and the items, by randomised subspace iteration."""
+    spark, n_terms = terms.sparkSession, len(index.terms)
+    triangle = products(terms, index)
+    passages = np.frombuffer(triangle.filter("i = -1").first().row, np.float64)[0]
     items = [index.row(np.array(w)) for w in index.words]
+    weight = FACTOR * max(1.0, passages) / len(items)
     width = min(rank + SPARE, n_terms)
 
     def gram(m: np.ndarray) -> np.ndarray:
-        """A^T A m: the sample's part is summed in tasks, at most four; the items weigh FACTOR times their number."""
+        """A^T A m: the documents' part is multiplied in tasks, at most four; the items weigh FACTOR times their number."""
         sent = spark.sparkContext.broadcast(m)
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, rows_n = np.zeros_like(sent.value), 0
+            m = sent.value
+            out = np.zeros_like(m)
             for batch in batches:
-                for k, x in zip(batch.column("k"), batch.column("x")):
-                    k, x = k.values.to_numpy(), x.values.to_numpy()
-                    out[k] += np.outer(x, x @ sent.value[k])
-                rows_n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([rows_n], pa.int64()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["n", "part"])
+                for lo in range(0, batch.num_rows, 64):
+                    part = batch.slice(lo, 64)
+                    i = part.column(0).to_numpy()
+                    upper = np.zeros((len(i), len(m)))
+                    for k in range(len(i)):
+                        upper[k, i[k] :] = np.frombuffer(part.column(1)[k].as_buffer(), np.float64)
+                    out[i] += upper @ m
+                    upper[np.arange(len(i)), i] = 0.0
+                    out += upper.T @ m[i]
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-        parts = passages.coalesce(4).mapInArrow(product, "n long, part binary").collect()
         out = np.zeros_like(m)
-        for r in parts:
+        for r in triangle.filter("i >= 0").coalesce(4).mapInArrow(product, "part binary").collect():
             out += np.frombuffer(r.part, np.float32).reshape(m.shape)
-        weight = FACTOR * max(1, sum(r.n for r in parts)) / len(items)
         for k, x in items:
             out[k] += weight * np.outer(x, x @ m[k])
         sent.destroy()
@@ -238,12 +338,26 @@ def singular_space(sample: DataFrame, index: Index, rank: int) -> np.ndarray:
     for _ in range(POWER):
         q = np.linalg.qr(gram(q))[0]
     values, vectors = np.linalg.eigh(q.T @ gram(q))
-    discard(passages)
-    model.destroy()
+    discard(triangle)
     return (q @ vectors[:, ::-1])[:, :rank]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER, rank: int = RANK, sample_docs: int = SAMPLE_DOCS, items: int = ITEMS, keep: tuple[str, ...] = (), space=singular_space) -> DataFrame:
+def together(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """(terms, row) of the documents of a batch that have words, so many at once that they have about WORDS_AT_ONCE."""
+    column, docs, of, n = batch.column("terms"), [], [], 0
+    for at in range(batch.num_rows):
+        if len(terms := terms_at(column, at)):
+            docs.append(terms)
+            of.append(at)
+            n += len(terms)
+        if n >= WORDS_AT_ONCE:
+            yield docs, of
+            docs, of, n = [], [], 0
+    if docs:
+        yield docs, of
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER, rank: int = RANK, items: int = ITEMS, keep: tuple[str, ...] = (), space=singular_space) -> DataFrame:
     """doc_id, columns of keep (of type long), item_id, cosine, lcs, answer of every pair found."""
     spark = docs.sparkSession
     names = ["doc_id", *keep, "item_id", "cosine", "lcs", "answer"]
@@ -251,19 +365,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least:
     numbered = benchmark.filter("text is not null").select("item_id", "text")
     blocks = max(1, -(-numbered.count() // items))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    vocabulary = {w for r in numbered.select("text").toLocalIterator() for w in words_of(r.text)}
-    if not vocabulary:
+    words = sorted({w for r in numbered.select("text").toLocalIterator() for w in words_of(r.text)})
+    if not words:
         return spark.createDataFrame([], schema)
-    docs_n, frequency = docs.count(), frequencies(docs, vocabulary)
-    sample = sampled(docs, docs_n, sample_docs)
+    vocabulary = {w: k for k, w in enumerate(words)}
+    terms = termed(docs, vocabulary, keep)
+    docs_n, frequency = terms.count(), frequencies(terms, words)
     found = []
     for lo in range(0, blocks, AT_ONCE):
         indexes = []
         for b in range(lo, min(lo + AT_ONCE, blocks)):
             index = Index([(r.item_id, r.text) for r in numbered.filter(block == b).orderBy("item_id", "text").collect()])
             if index.ids:
+                index.number(vocabulary)
                 index.weigh(docs_n, frequency)
-                index.fit(space(sample, index, max(rank, len(index.ids))))
+                index.fit(space(terms, index, max(rank, len(index.ids))))
                 indexes.append(index)
         if not indexes:
             continue
@@ -272,20 +388,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least:
         def search(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64()] * (2 + len(keep)) + [pa.float64()] * 3
             for batch in batches:
-                ids, out, at = batch.select(names[: 1 + len(keep)]).to_pylist(), [], 0
-                while at < batch.num_rows:
-                    docs_, of, n = [], [], 0
-                    while at < batch.num_rows and n < WORDS_AT_ONCE:
-                        if words := words_of(batch.column("text")[at].as_py()):
-                            docs_.append(words)
-                            of.append(at)
-                            n += len(words)
-                        at += 1
-                    for index in model.value if docs_ else ():
-                        out += [(*ids[of[d]].values(), *x) for d, *x in index.matches([index.terms_of(w) for w in docs_], cosine, least, answer)]
+                ids, out = batch.select(names[: 1 + len(keep)]).to_pylist(), []
+                for docs_, of in together(batch):
+                    for index in model.value:
+                        out += [(*ids[of[d]].values(), *x) for d, *x in index.matches([index.lookup[d] for d in docs_], cosine, least, answer)]
                 cols = list(zip(*out)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        found.append(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *keep).mapInArrow(search, schema))
+        found.append(terms.mapInArrow(search, schema))
     out = reduce(DataFrame.union, found)
     return out.groupBy("doc_id", *keep, "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
