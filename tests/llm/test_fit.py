@@ -69,3 +69,21 @@ def test_stripes_give_the_same_sums(spark, monkeypatch):
     assert np.frombuffer(sums[0][-1], np.float64)[0] == len(a)
     g = a.T @ a
     assert all(abs(np.frombuffer(sums[0][i], np.float64) - g[i, i:]).max() < 1e-6 for i in range(len(words)))
+
+
+def test_the_pipelines_stage_fits_on_all_passages(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    texts, items, docs, bench = made(spark, 7)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, products = [], D.products
+
+    def counted(terms, index):
+        out = products(terms, index)
+        seen.append((index, np.frombuffer(out.filter("i = -1").first().row, np.float64)[0]))
+        return out
+
+    monkeypatch.setattr(D, "products", counted)
+    corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).count()
+    (index, n), = seen
+    assert n == len(passages(texts, index)) > 300
