@@ -87,3 +87,30 @@ def test_the_pipelines_stage_fits_on_all_passages(spark, monkeypatch, tmp_path):
     corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).count()
     (index, n), = seen
     assert n == len(passages(texts, index)) > 300
+
+
+def test_the_driver_gets_one_product_in_small_pieces(spark, monkeypatch):
+    """Of each multiplication by A^T A the driver collects one matrix, however many tasks multiply, in rows of a few terms."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    texts, items, docs, bench = made(spark, 8)
+    collected, shapes, collect = [], [], DataFrame.collect
+
+    def sizes(self):
+        rows = collect(self)
+        collected.append([len(r.part) for r in rows if "part" in r])
+        return rows
+
+    def space(table, index, rank):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "collect", sizes)
+            out = D.singular_space(table, index, rank)
+        shapes.append((len(index.terms), min(rank + D.SPARE, len(index.terms))))
+        return out
+
+    D.leaks(docs, bench, rank=40, space=space).count()
+    (n, width), = shapes
+    products = [x for x in collected if x]
+    assert len(products) == D.POWER + 1
+    for x in products:
+        assert sum(x) == 4 * n * width and max(x) <= 4 * D.TERMS_AT_ONCE * width

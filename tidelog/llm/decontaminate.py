@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from tidelog.llm.common import discard, written
 
 STRIDE, BLOCKS, RANK, SPARE, POWER, COSINE, LCS, ANSWER = 16, 3, 192, 12, 2, 0.20, 0.7, 0.5
 ITEMS, AT_ONCE, FACTOR, SLAB, WORDS_AT_ONCE, ROWS_AT_ONCE, PASSAGES_AT_ONCE, CELLS, UNIT = 256, 4, 4.0, 512, 1 << 16, 100, 1 << 12, 1 << 24, 1 << 30
+TERMS_AT_ONCE, PIECE = 16, 1 << 18
 WINDOW = STRIDE * BLOCKS
 # White space and ASCII punctuation part words; bytes beyond ASCII stay.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -308,11 +310,15 @@ def singular_space(terms: DataFrame, index: Index, rank: int) -> np.ndarray:
     width = min(rank + SPARE, n_terms)
 
     def gram(m: np.ndarray) -> np.ndarray:
-        """A^T A m: the documents' part is multiplied in tasks, at most four; the items weigh FACTOR times their number."""
-        sent = spark.sparkContext.broadcast(m)
+        """A^T A m: the documents' part is multiplied in tasks, at most four, and summed in tasks; the items weigh FACTOR times their number.
+
+        The driver gets one matrix, not one a task, and in pieces of PIECE bytes at most: of larger ones the JVM holds many
+        copies at once, for which its heap grows and stays large.
+        """
+        sent = spark.sparkContext.broadcast(m.astype(np.float32))
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = sent.value
+            m = sent.value.astype(np.float64)
             out = np.zeros_like(m)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
@@ -324,11 +330,23 @@ def singular_space(terms: DataFrame, index: Index, rank: int) -> np.ndarray:
                     out[i] += upper @ m
                     upper[np.arange(len(i)), i] = 0.0
                     out += upper.T @ m[i]
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["part"])
+            at, of = range(0, len(out), TERMS_AT_ONCE), TaskContext.get().partitionId()
+            parts = [out[k : k + TERMS_AT_ONCE].astype(np.float32).tobytes() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([of] * len(at), pa.int32()), pa.array(parts, pa.binary())], ["at", "of", "part"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:  # sorted, so that sums are the same in each run
+                for at, part in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    total[at] = total.get(at, 0.0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+            parts = [v.astype(np.float32).tobytes() for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], ["at", "part"])
 
         out = np.zeros_like(m)
-        for r in triangle.filter("i >= 0").coalesce(4).mapInArrow(product, "part binary").collect():
-            out += np.frombuffer(r.part, np.float32).reshape(m.shape)
+        parts = triangle.filter("i >= 0").coalesce(4).mapInArrow(product, "at int, of int, part binary")
+        parts = parts.repartition(max(8, -(-2 * 4 * m.size // PIECE)), "at").sortWithinPartitions("at", "of")
+        for r in parts.mapInArrow(added, "at int, part binary").collect():  # a matrix of a block's terms
+            out[r.at : r.at + TERMS_AT_ONCE] = np.frombuffer(r.part, np.float32).reshape(-1, m.shape[1])
         for k, x in items:
             out[k] += weight * np.outer(x, x @ m[k])
         sent.destroy()
