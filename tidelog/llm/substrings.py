@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import discard, groups, spread_join, written
+from tidelog.operators.stateful import in_streams
 
 LENGTH, DIGIT, BLOCK, AT_ONCE = 200, 32, 32_768, 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -149,6 +150,8 @@ def repeated_windows(m: np.ndarray, first: np.ndarray, last: np.ndarray, length:
     for a in range(lo, hi + 1, step):
         starts = np.arange(a, min(a + step, hi + 1))
         row, start = np.nonzero((first[:, None] <= starts) & (starts <= last[:, None]))
+        if not len(row):  # near the ends of texts no row has a window at these starts
+            continue
         start = starts[start]
         group = start.astype(np.uint64)
         for k in (0, length - digit):
@@ -242,7 +245,7 @@ def solve(rows: DataFrame, length: int, digit: int) -> DataFrame:
                 d, h = (g.column(c).take(at).combine_chunks() for c in REF)
                 yield pa.RecordBatch.from_arrays([d, h, pa.array((pos + first[hit]).astype(np.int32)), pa.array((pos + last[hit] + length).astype(np.int32))], ["d", "h", "start", "end"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "d long, h long, start int, end int")
+    return in_streams(rows, keys).mapInArrow(run, "d long, h long, start int, end int")
 
 
 HALF = "key long, lo int, hi int, core binary, cover binary, d long, h long, pos int, done boolean, left int, ctx binary"
